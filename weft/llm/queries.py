@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import fingerprints, packing, sentencepiece_table, token_counts
+from weft.llm import fingerprints, ngram_join, packing, quality, sentencepiece_table, token_counts, toxicity
 from weft.llm._common import table
 
 
@@ -19,6 +19,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(table(spark, sf_dir, "documents"))
 
@@ -29,6 +43,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_sentencepiece, op9_fingerprints, op10_packing)
+    f.__name__: f for f in (op2_token_counts, op3_sentencepiece, op5_quality, op7_toxicity, op8_ngram_join, op9_fingerprints, op10_packing)
+}
+#: Sets of distinct 3-word shingles as in op8, for SQL.
+_SHINGLES = r"""
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+listed AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) END AS s FROM words
+)"""
+ORACLE_SQL: dict[str, str] = {
+    "op8_ngram_join": f"""
+WITH RECURSIVE {_SHINGLES},
+class AS (SELECT list_sort(s) AS k, min(doc_id) AS c, len(s) AS n FROM listed WHERE len(s) > 0 GROUP BY ALL),
+item AS (SELECT c, n, unnest(k) AS x FROM class),
+shared AS (SELECT a.c AS a, b.c AS b, count(*) AS i, any_value(a.n) AS n, any_value(b.n) AS m FROM item a JOIN item b ON a.x = b.x AND a.c < b.c AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM shared WHERE 100 * i >= 90 * (n + m - i)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT c, c FROM class UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+least_id AS (SELECT a AS c, min(b) AS component_id FROM reach GROUP BY a)
+SELECT l.doc_id, CAST(len(l.s) AS BIGINT) AS n_shingles, coalesce(m.component_id, l.doc_id) AS component_id
+FROM listed l LEFT JOIN class c ON c.k = list_sort(l.s) LEFT JOIN least_id m ON m.c = c.c""",
 }
-ORACLE_SQL: dict[str, str] = {}
