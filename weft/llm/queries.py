@@ -7,10 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import fingerprints, ngram_join, packing, quality, sentencepiece_table, token_counts, toxicity
+from weft.llm import fingerprints, ngram_join, packing, quality, sentencepiece_table, token_counts, topk, toxicity, url_filter, warc_zip
 from weft.llm._common import table
 
 
+#: Rules of op4: verdict, host, path.
+RULES = [
+    url_filter.Rule("block", "net"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archive(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -19,11 +32,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.grade_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +64,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_sentencepiece, op5_quality, op7_toxicity, op8_ngram_join, op9_fingerprints, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_warc, op2_token_counts, op3_sentencepiece, op4_url_filter, op5_quality, op6_top_k, op7_toxicity, op8_ngram_join, op9_fingerprints, op10_packing,
+    )
 }
 #: Sets of distinct 3-word shingles as in op8, for SQL.
 _SHINGLES = r"""
@@ -51,7 +75,27 @@ words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDE
 listed AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2])) END AS s FROM words
 )"""
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT) >> {s}) & 31 AS INTEGER) + 1, 1)" for k in range(8) for s in (15, 10, 5, 0)
+)
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, CAST(octet_length(encode(x)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f""",
+    "op6_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op8_ngram_join": f"""
 WITH RECURSIVE {_SHINGLES},
 class AS (SELECT list_sort(s) AS k, min(doc_id) AS c, len(s) AS n FROM listed WHERE len(s) > 0 GROUP BY ALL),
