@@ -45,6 +45,18 @@ def remove(df_or_path, spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of a batch between Spark and Python: a batch of long rows is held several times over on either side.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of a batch where it is above ``BATCH_BYTES``."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def text_of(name: str) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

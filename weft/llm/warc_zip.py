@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm._common import fresh_path, materialise
+from weft.llm._common import bounded_batches, fresh_path, materialise
 
 ID, DATE = "urn:x-page:", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/records.idx"
-#: Bytes after which a new package is begun, and bytes of records that are read together.
-PACKAGE_BYTES, RANGE_BYTES = 1 << 28, 1 << 23
+#: Bytes after which a new package is begun, and bytes of neighbouring records that are read together.
+PACKAGE_BYTES, RANGE_BYTES = 1 << 28, 1 << 20
+#: Bytes of archives that a reading task gets on average.
+TASK_BYTES = 1 << 23
 
 
 def base32_sha1(data: Column) -> Column:
@@ -286,13 +288,16 @@ def read(spark: SparkSession, packages: DataFrame, *, with_payload: bool = False
         for f in opened.values():
             f.close()
 
+    # by number, as the ranges say nothing of the bytes behind them
+    tasks = max(1, -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     located = packages.select("path").repartition(F.col("path")).mapInArrow(locate, "path string, offset long, length long")
-    dealt = located.repartition(F.col("path"), F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("path", "offset")
+    dealt = located.repartition(tasks, F.col("path"), F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(fetch, READ + ", payload binary" * with_payload)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Pages written to packages and read back, without payloads and urls."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     packages = write(with_revisits(pages, least_bytes), folder or fresh_path(spark, "wacz"))
     return read(spark, packages).drop("url")
