@@ -262,6 +262,13 @@ def linked(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
     return second.where(alike("a", "b")).select("x", "y")
 
 
+def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Those of the pairs that link; only the sets of their classes are made again from the texts."""
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+    wanted = materialise(ends.join(classes.select("class", "first_id"), "class"), "wanted")
+    return linked(pairs, materialise(whole_sets(docs, wanted, spec), "whole-sets"), spec)
+
+
 def may_link(spec: JoinSpec, x: str, y: str) -> Column:
     """Whether an entry shared by two classes lies inside the prefixes that their sizes allow."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -294,9 +301,7 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
     x = F.struct("class", "n", "matches", "pos").alias("x")
     stars = shared.select(x, F.col("hub").alias("y")).where((F.col("x.class") != F.col("y.class")) & may_link(spec, "x", "y"))
     stars = materialise(stars.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct(), "stars")
-    within = shared.select("class").distinct().join(classes.select("class", "first_id"), "class")
-    sets = materialise(whole_sets(docs, within, spec), "whole-sets")
-    links = materialise(linked(stars, sets, spec), "links")
+    links = materialise(compared(docs, stars, classes, spec), "links")
 
     # pairs in a list that the stars have left in different components
     label = connected_components(links, "x", "y")
@@ -325,8 +330,12 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
         .select("x", "y")
         .join(stars, ["x", "y"], "left_anti")
     )
-    more = linked(materialise(pairs, "pairs"), sets, spec)
-    final = connected_components(links.unionByName(more), "x", "y").withColumnRenamed("node", "class")
+    pairs = materialise(pairs, "pairs")
+    if pairs.isEmpty():
+        final = label
+    else:
+        final = connected_components(links.unionByName(compared(docs, pairs, classes, spec)), "x", "y")
+    final = final.withColumnRenamed("node", "class")
 
     # components are named by classes so far; name them by the smallest id
     named = classes.select("class", "first_id").join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
