@@ -15,7 +15,7 @@ from weft.llm._common import text_of
 
 BITS = 20
 SIZE = 1 << BITS
-MEMO_ENTRIES, MEMO_KEY_BYTES = 400_000, 64
+MEMO_ENTRIES, MEMO_KEY_BYTES = 150_000, 64
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
@@ -147,8 +147,9 @@ _indicators: dict[str, Indicators | Beginnings] = {}
 
 
 def indicators(kind: str) -> Indicators | Beginnings:
-    """``n-grams`` or ``beginnings``; one for each Python worker."""
+    """``n-grams`` or ``beginnings``; a Python worker keeps the last kind only."""
     if kind not in _indicators:
+        _indicators.clear()
         _indicators[kind] = {"n-grams": Indicators, "beginnings": Beginnings}[kind]()
     return _indicators[kind]
 

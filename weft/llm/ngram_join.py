@@ -33,10 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import materialise, text_of
+from weft.llm._common import bounded_batches, materialise, text_of
 from weft.llm.components import connected_components
 
-MEMO_ENTRIES = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -59,29 +58,15 @@ class JoinSpec:
 
 
 class Shingler:
-    """Sets of shingles, with a bounded memory of words; one for each Python worker and width."""
+    """Sets of shingles of a text."""
 
     def __init__(self, width: int):
         self.width = width
-        self.memo: dict[bytes, int] = {}
 
     def all(self, text: bytes) -> np.ndarray:
         """Hashes of the shingles in order, with repetitions."""
         words = text.lower().split()
-        memo = self.memo
-        try:
-            w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            digest = xxhash.xxh3_64_intdigest
-            for x in set(words):
-                if x not in memo:
-                    memo[x] = digest(x)
-            w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-            for x in words:
-                if len(x) > 64:
-                    memo.pop(x, None)
+        w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         if len(w) == 0:
             return w
         n = min(self.width, len(w))
@@ -95,15 +80,6 @@ class Shingler:
         return np.unique(self.all(text))
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
-def shingler(width: int) -> Shingler:
-    if width not in _shinglers:
-        _shinglers[width] = Shingler(width)
-    return _shinglers[width]
-
-
 def class_of(found: np.ndarray) -> int:
     """A signed 64-bit hash of a whole set."""
     return int(np.array(xxhash.xxh3_64_intdigest(found.tobytes()), np.uint64).view(np.int64))
@@ -119,7 +95,7 @@ def sketch(texts: DataFrame, spec: JoinSpec) -> np.ndarray:
     width, cells = spec.width, spec.sketch_cells
 
     def count(batches):
-        total, of, buffer, size = np.zeros(cells, np.int64), shingler(width), [], 0
+        total, of, buffer, size = np.zeros(cells, np.int64), Shingler(width), [], 0
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 buffer.append((of.all(text) & np.uint64(cells - 1)).astype(np.int32))
@@ -183,7 +159,7 @@ def set_rows(docs: DataFrame, counts, spec: JoinSpec) -> DataFrame:
     """One row for each text: its set's size, class and listed shingles."""
 
     def run(batches):
-        of = shingler(spec.width)
+        of = Shingler(spec.width)
         for batch in batches:
             rows = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -227,7 +203,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame
     bits, width = spec.id_bits, spec.width
 
     def run(batches):
-        of = shingler(width)
+        of = Shingler(width)
         flags = wanted.value
         for batch in batches:
             ids = batch.column("doc_id")
@@ -280,6 +256,7 @@ def may_link(spec: JoinSpec, x: str, y: str) -> Column:
 def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row; the component's id is its smallest."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(sketch(docs.select("text"), spec))
     rows = materialise(set_rows(docs, counts, spec), "sets")
