@@ -6,14 +6,16 @@ whole sequence is one. Two texts link when their sets' Jaccard similarity is at
 1. A count sketch of fixed size over all shingles of all texts estimates how common each one is.
    It orders the shingles of every set alike, rare ones first. The order decides the speed only.
 2. Equal sets form one class. If two sets of sizes n, m have the overlap a that the threshold needs,
-   the first n - a + L of one and m - a + L of the other share L shingles. A class lists its first
+   the first n - a + L of one and m - a + L of the other share L shingles. A class keeps its first
    n - ceil(t n) + L shingles, where L from 1 up is chosen by the estimated cost of its candidates: a
-   longer prefix lists more, but a pair must then share L of them.
+   longer prefix costs more to read, but a pair must then share L of them. Pairs meet in the shingles
+   of the shortest prefixes; before they are compared, they must share as many as the smaller L in
+   the prefixes lengthened for it.
 3. In each shingle's list the class whose prefix is most common is the hub; all others are compared
    with it. These links are true ones and join most of a group of near copies in linear work.
-4. Then all pairs in a list that aren't in one component yet are counted, under the positions that
-   their sizes allow, and those that share enough are compared. So no link between components is
-   lost, and the pairs within a component aren't listed.
+4. Then all pairs in a list that aren't in one component yet are met, under the positions that their
+   sizes allow, and those that share enough are compared. So no link between components is lost, and
+   the pairs within a component aren't listed.
 5. Pairs are compared by their whole sets, which are read again from the texts of the classes in
    question only. Components of the links give the result.
 
@@ -245,12 +247,26 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, spec: JoinSp
     return linked(pairs, materialise(whole_sets(docs, wanted, spec), "whole-sets"), spec)
 
 
+def overlap(spec: JoinSpec, n: Column, m: Column) -> Column:
+    """The least number of shingles that sets of these sizes share if they link."""
+    return F.ceil((spec.num * (n + m)).cast("long") / F.lit(spec.num + spec.den)).cast("long")
+
+
 def may_link(spec: JoinSpec, x: str, y: str) -> Column:
-    """Whether an entry shared by two classes lies inside the prefixes that their sizes allow."""
+    """Whether a shingle that two classes share lies inside the shortest prefixes that their sizes allow."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    overlap = F.expr(f"({spec.num} * ({x}.n + {y}.n) + {spec.num + spec.den - 1}) div {spec.num + spec.den}")
-    matches = F.least(F.col(f"{x}.matches"), F.col(f"{y}.matches"))
-    return (F.col(f"{x}.pos") < n - overlap + matches) & (F.col(f"{y}.pos") < m - overlap + matches) & (F.least(n, m) >= overlap)
+    least = overlap(spec, n, m)
+    return (F.col(f"{x}.pos") <= n - least) & (F.col(f"{y}.pos") <= m - least) & (F.least(n, m) >= least)
+
+
+def sharing_enough(pairs: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Pairs (x, y) of classes that share as many shingles of their lengthened prefixes as both ask for."""
+    side = lambda c: classes.select(F.col("class").alias(c), F.struct("n", "matches", "listed").alias(f"_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    n, m = F.col("_x.n"), F.col("_y.n")
+    asked, least = F.least("_x.matches", "_y.matches"), overlap(spec, n, m)
+    head = lambda c, size: F.slice(F.col(f"{c}.listed"), F.lit(1), (size - least + asked).cast("int"))
+    return both.where(F.size(F.array_intersect(head("_x", n), head("_y", m))) >= asked).select("x", "y")
 
 
 def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,18 +282,20 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
         F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("common").alias("common"), F.first("listed").alias("listed")
     )
     classes = materialise(classes, "classes")
-    entries = classes.select("class", "n", "matches", "common", F.posexplode("listed").alias("pos", "shingle"))
+    shortest = (F.col("n") - F.ceil((spec.num * F.col("n")) / F.lit(spec.den)) + 1).cast("int")
+    entries = classes.select("class", "n", "common", F.posexplode(F.slice("listed", F.lit(1), shortest)).alias("pos", "shingle"))
     hubs = (
         entries.groupBy("shingle")
-        .agg(F.count("*").alias("many"), F.max(F.struct("common", "class", "n", "matches", "pos")).alias("hub"))
+        .agg(F.count("*").alias("many"), F.max(F.struct("common", "class", "n", "pos")).alias("hub"))
         .where("many > 1")
         .select("shingle", "hub")
     )
     shared = materialise(entries.drop("common").join(hubs, "shingle"), "entries")
 
-    x = F.struct("class", "n", "matches", "pos").alias("x")
+    x = F.struct("class", "n", "pos").alias("x")
     stars = shared.select(x, F.col("hub").alias("y")).where((F.col("x.class") != F.col("y.class")) & may_link(spec, "x", "y"))
-    stars = materialise(stars.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct(), "stars")
+    stars = stars.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct()
+    stars = materialise(sharing_enough(stars, classes, spec), "stars")
     links = materialise(compared(docs, stars, classes, spec), "links")
 
     # pairs in a list that the stars have left in different components
@@ -286,13 +304,13 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
     labelled = materialise(labelled, "labelled")
     mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     labelled = labelled.join(mixed, "shingle", "left_semi")
-    y = labelled.select("shingle", F.struct("class", "n", "matches", "pos", "component").alias("y"))
+    y = labelled.select("shingle", F.struct("class", "n", "pos", "component").alias("y"))
     hub_at = label.select(F.col("node").alias("hub_class"), F.col("component").alias("hub_component"))
     left = (
         labelled.withColumn("hub_class", F.col("hub.class"))
         .join(hub_at, "hub_class", "left")
         .where(F.col("component") != F.coalesce("hub_component", "hub_class"))
-        .select("shingle", F.struct("class", "n", "matches", "pos", "component").alias("x"), F.coalesce("hub_component", "hub_class").alias("centre"))
+        .select("shingle", F.struct("class", "n", "pos", "component").alias("x"), F.coalesce("hub_component", "hub_class").alias("centre"))
     )
     # every such pair has a side outside the hub's component; if both are, each pair is taken once
     met = left.join(y, "shingle").where(
@@ -300,13 +318,8 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
         & ((F.col("y.component") == F.col("centre")) | (F.col("x.class") < F.col("y.class")))
         & may_link(spec, "x", "y")
     )
-    pairs = (
-        met.groupBy(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y"))
-        .agg(F.count("*").alias("together"), F.first(F.least("x.matches", "y.matches")).alias("matches"))
-        .where(F.col("together") >= F.col("matches"))
-        .select("x", "y")
-        .join(stars, ["x", "y"], "left_anti")
-    )
+    pairs = met.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct()
+    pairs = sharing_enough(pairs, classes, spec).join(stars, ["x", "y"], "left_anti")
     pairs = materialise(pairs, "pairs")
     if pairs.isEmpty():
         final = label
