@@ -81,8 +81,7 @@ def suffixes(host: str) -> list[str]:
     return [".".join(labels[-k:]) for k in (1, 2, 3)]
 
 
-def features(url: str | None, stats: dict[str, tuple[int, int]], prior: float, without: int | None = None) -> list[float]:
-    """The features; ``without`` takes the URL's own label out of the counts, for learning."""
+def features(url: str | None, stats: dict[str, tuple[int, int]], prior: float) -> list[float]:
     url = url or ""
     scheme, host, path, query, fragment = (x or "" for x in _PARTS.match(url).groups())
     host = host.lower()
@@ -95,9 +94,7 @@ def features(url: str | None, stats: dict[str, tuple[int, int]], prior: float, w
     ]
     for s in suffixes(host):
         blocked, count = stats.get(s, (0, 0))
-        if without is not None:
-            blocked, count = blocked - without, count - 1
-        out += [(blocked + 2 * prior) / (count + 2), float(np.log1p(max(0, count)))]
+        out += [(blocked + 2 * prior) / (count + 2), float(np.log1p(count))]
     return out
 
 
@@ -182,18 +179,27 @@ class UrlModel:
         return 1 / (1 + np.exp(-self.trees.margin(x)))
 
 
-def fit(urls: list[str], blocked: list[int]) -> UrlModel:
-    y = np.array(blocked, np.float64)
-    prior = float((y.sum() + 1) / (len(y) + 2))
-    total: dict[str, list[int]] = {}
+def suffix_counts(urls: list[str], blocked: list[int]) -> dict[str, tuple[int, int]]:
+    """Suffix -> (blocked, all) URLs."""
+    total: dict[str, tuple[int, int]] = {}
     for u, b in zip(urls, blocked):
         for s in set(suffixes(_PARTS.match(u)[2].lower())):
-            pair = total.setdefault(s, [0, 0])
-            pair[0] += b
-            pair[1] += 1
-    stats = {s: (a, n) for s, (a, n) in total.items()}
-    x = np.array([features(u, stats, prior, b) for u, b in zip(urls, blocked)]).reshape(len(urls), len(FEATURES))
-    return UrlModel(boost(x, y), stats, prior)
+            old = total.get(s, (0, 0))
+            total[s] = (old[0] + b, old[1] + 1)
+    return total
+
+
+def fit(urls: list[str], blocked: list[int], folds: int = 5) -> UrlModel:
+    """The trees learn from suffix counts of the other folds only, so a row's own label is in none of its features."""
+    y = np.array(blocked, np.float64)
+    prior = float((y.sum() + 1) / (len(y) + 2))
+    x = np.zeros((len(urls), len(FEATURES)))
+    for k in range(folds):
+        rest = [i for i in range(len(urls)) if i % folds != k]
+        stats = suffix_counts([urls[i] for i in rest], [blocked[i] for i in rest])
+        for i in range(k, len(urls), folds):
+            x[i] = features(urls[i], stats, prior)
+    return UrlModel(boost(x, y), suffix_counts(urls, blocked), prior)
 
 
 def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "blocked", most_rows: int = 10_000) -> UrlModel:
