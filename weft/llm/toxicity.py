@@ -7,8 +7,8 @@ rows come from how densely they use markers, indicators far more frequent in tox
 labelled rows: thirds of the density are grades 1, 2, 3. A row is judged toxic if the probability of grade 1 or more
 reaches ``LEAST_PROBABILITY``.
 
-The sample is bounded and chosen by a hash of the id; indicators are screened by their log-odds
-z-score before fitting, so that chance words have no weight.
+The sample is bounded and chosen by a hash of the id; indicators are screened by the root of their
+likelihood ratio before fitting, so that chance words have no weight.
 
 Defined cases: null and empty texts have no indicators and the severity of the thresholds alone;
 without labelled rows, or with one class only, the severity is the smoothed share of toxic rows;
@@ -29,7 +29,7 @@ from weft.llm._features import SIZE, indicators, labelled_sample
 
 GRADES = 3
 #: A row is judged toxic from this probability of grade 1 or more; a missed toxic row costs more than a look at a clean one.
-LEAST_PROBABILITY = 0.2
+LEAST_PROBABILITY = 0.1
 
 
 @dataclass
@@ -48,12 +48,14 @@ class SeverityModel:
 
 
 def z_scores(index: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each indicator the z-score of its log-odds of toxic rows, and the number of rows."""
+    """Of each indicator the signed root of the likelihood ratio against no link with toxic rows, and the number of rows."""
     a, b = (np.bincount(index[toxic[row] == t], minlength=SIZE).astype(float) for t in (True, False))
-    n, m = toxic.sum(), (~toxic).sum()
-    odds = np.log((a + 0.5) / (n - a + 0.5)) - np.log((b + 0.5) / (m - b + 0.5))
-    spread = np.sqrt(1 / (a + 0.5) + 1 / (n - a + 0.5) + 1 / (b + 0.5) + 1 / (m - b + 0.5))
-    return odds / spread, a + b
+    n, m = float(toxic.sum()), float((~toxic).sum())
+    part = lambda seen, expected: seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))
+    share = n / (n + m)
+    ratio = part(a, (a + b) * share) + part(b, (a + b) * (1 - share))
+    ratio += part(n - a, (n + m - a - b) * share) + part(m - b, (n + m - a - b) * (1 - share))
+    return np.sign(a / n - b / m) * np.sqrt(np.maximum(2 * ratio, 0)), a + b
 
 
 def grades(index: np.ndarray, row: np.ndarray, toxic: np.ndarray, z: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -64,7 +66,7 @@ def grades(index: np.ndarray, row: np.ndarray, toxic: np.ndarray, z: np.ndarray,
     return np.where(toxic, 1 + np.searchsorted(cuts, density, "left"), 0)
 
 
-def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: float = 4.0, least_rows: int = 4, most_features: int = 4096, steps: int = 600, ridge: float = 1.0) -> SeverityModel:
+def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: float = 5.0, least_rows: int = 4, most_features: int = 4096, steps: int = 600, ridge: float = 1.0) -> SeverityModel:
     n, toxic = len(label), label == 1
     if n == 0 or toxic.all() or not toxic.any():
         share = (toxic.sum() + 1) / (n + 2)
