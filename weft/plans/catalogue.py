@@ -119,6 +119,27 @@ def _fit(init: str) -> Query:
     return run
 
 
+def component_scatter(spark: SparkSession, d: str) -> DataFrame:
+    """The plane of the two components with the categories that it is coloured by."""
+    model, rows = famd_model(spark, d)
+    kinds = rows.select("user_id", "most_active_time_day", "most_common_click_length")
+    return model.transform(rows).join(kinds, "user_id")
+
+
+def centroid_scatter(spark: SparkSession, d: str) -> DataFrame:
+    """The users in the plane with their clusters, and the centroids among them."""
+    points = user_points(spark, d).persist()
+    found = clustering.kmeans(points, init="k-means++")
+    plane = lambda rows, v: rows.select("cluster", F.col(v)[0].alias("pc0"), F.col(v)[1].alias("pc1"), F.lit(v == "centroid").alias("is_centroid"))
+    return plane(found.predict(points), "features").unionByName(plane(clustering.centroid_table(spark, found.centroids), "centroid"))
+
+
+def sample_users(spark: SparkSession, d: str) -> DataFrame:
+    """Ten users without replacement, the same whatever the partitions."""
+    users = features.user_features(clicks(spark, d)).select("user_id", "favourite_genre")
+    return users.orderBy(clustering.uniform("user_id", 42), "user_id").limit(10)
+
+
 def labelled_embeddings(spark: SparkSession, d: str) -> DataFrame:
     points = embedding_points(spark, d)
     labels = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
@@ -184,6 +205,9 @@ QUERIES: dict[str, Query] = {
     "elbow": elbow,
     "best_silhouette_k": best_silhouette_k,
     "famd": famd,
+    "component_scatter": component_scatter,
+    "centroid_scatter": centroid_scatter,
+    "sample_users": sample_users,
     "famd_eigenvalues": famd_eigenvalues,
     "exam_best_score": lambda s, d: exam_rows(exam_cases(s).withColumn("best", exam.best_score())),
     "exam_greedy": lambda s, d: exam_rows(exam_cases(s).withColumn("best", exam.greedy_score())),
