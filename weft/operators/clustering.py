@@ -78,7 +78,8 @@ class Clustering:
 
 def kmeans(points: DataFrame, k: int = 4, *, init: str | Centroids = "random", max_iter: int = 300, tol: float = 1e-4, seed: int = 42) -> Clustering:
     """Lloyd's steps until no coordinate moves by more than ``tol`` (plus 1e-5 of itself)."""
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    own = not (points.storageLevel.useMemory or points.storageLevel.useDisk)  # a caller's cache stays
+    points = points.persist(StorageLevel.MEMORY_AND_DISK) if own else points
     try:
         centroids = init if isinstance(init, list) else {"random": random_seeds, "k-means++": plus_plus_seeds}[init](points, k, seed)
         if not centroids:
@@ -92,7 +93,8 @@ def kmeans(points: DataFrame, k: int = 4, *, init: str | Centroids = "random", m
         inertia = assign(points, centroids).agg(F.coalesce(F.sum("dist2"), F.lit(0.0))).first()[0]
         return Clustering(centroids, float(inertia), step)
     finally:
-        points.unpersist()
+        if own:
+            points.unpersist()
 
 
 def bisecting(points: DataFrame, k: int = 4, seed: int = 42) -> Clustering:
