@@ -186,14 +186,21 @@ def silhouette(labelled: DataFrame, sample: int = 10_000, seed: int = 42) -> Dat
 # -- choice of k ---------------------------------------------------------------------------------
 
 
+def fits_by_k(points: DataFrame, ks, init: str, seed: int):
+    """(k, fit) for each k; seeds are drawn one after another, so those of a smaller k begin those of a larger one."""
+    seeds = {"random": random_seeds, "k-means++": plus_plus_seeds}[init](points, max(ks), seed)
+    for k in ks:
+        yield k, kmeans(points, k, init=seeds[:k])
+
+
 def inertia_by_k(points: DataFrame, ks=range(2, 11), init: str = "k-means++", seed: int = 42) -> DataFrame:
     """(k, inertia)."""
-    return points.sparkSession.createDataFrame([(k, kmeans(points, k, init=init, seed=seed).inertia) for k in ks], "k int, inertia double")
+    return points.sparkSession.createDataFrame([(k, fit.inertia) for k, fit in fits_by_k(points, ks, init, seed)], "k int, inertia double")
 
 
 def silhouette_by_k(points: DataFrame, ks=range(2, 11), init: str = "k-means++", seed: int = 42, sample: int = 10_000) -> DataFrame:
     """(k, silhouette)."""
-    scores = [(k, silhouette(kmeans(points, k, init=init, seed=seed).predict(points), sample, seed).first()[0]) for k in ks]
+    scores = [(k, silhouette(fit.predict(points), sample, seed).first()[0]) for k, fit in fits_by_k(points, ks, init, seed)]
     return points.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 
