@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import bounded_batches, materialise, text_of
+from weft.llm._common import bounded_batches, materialise, release, remove, text_of
 from weft.llm.components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -199,21 +199,27 @@ def id_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     return out.ravel()[:bits]
 
 
+def possibly_in(ids: DataFrame, id_col: str, spec: JoinSpec):
+    """A test of id columns: false where an id is surely none of the ids. It moves no rows; a join settles the rest."""
+    sent = ids.sparkSession.sparkContext.broadcast(np.packbits(id_filter(ids, id_col, spec.id_bits)))
+    bits = spec.id_bits
+
+    def test(column: pa.Array) -> pa.Array:
+        at = np.mod(column.fill_null(0).to_numpy(zero_copy_only=False), bits)
+        there = (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return pa.array(there & column.is_valid().to_numpy(zero_copy_only=False))
+
+    return test
+
+
 def whole_sets(docs: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
     """(class, data): the sorted set of each of the classes, from the text of its first document."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(classes, "first_id", spec.id_bits)))
-    bits, width = spec.id_bits, spec.width
+    wanted = possibly_in(classes, "first_id", spec)
 
     def run(batches):
-        of = Shingler(width)
-        flags = wanted.value
+        of = Shingler(spec.width)
         for batch in batches:
-            ids = batch.column("doc_id")
-            if ids.null_count == len(ids):
-                continue
-            at = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
-            keep = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            texts = batch.column("text").filter(pa.array(keep)).cast(pa.binary()).to_pylist()
+            texts = batch.column("text").filter(wanted(batch.column("doc_id"))).cast(pa.binary()).to_pylist()
             rows = [(class_of(f), f.tobytes()) for f in map(of.set, texts) if len(f)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "data"])
@@ -240,11 +246,17 @@ def linked(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
     return second.where(alike("a", "b")).select("x", "y")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+
+
 def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
     """Those of the pairs that link; only the sets of their classes are made again from the texts."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
-    wanted = materialise(ends.join(classes.select("class", "first_id"), "class"), "wanted")
-    return linked(pairs, materialise(whole_sets(docs, wanted, spec), "whole-sets"), spec)
+    wanted = materialise(ends_of(pairs).join(classes.select("class", "first_id"), "class"), "wanted")
+    sets = materialise(whole_sets(docs, wanted, spec), "whole-sets")
+    links = materialise(linked(pairs, sets, spec), "links")
+    remove(sets, docs.sparkSession)
+    return links
 
 
 def overlap(spec: JoinSpec, n: Column, m: Column) -> Column:
@@ -261,7 +273,11 @@ def may_link(spec: JoinSpec, x: str, y: str) -> Column:
 
 def sharing_enough(pairs: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
     """Pairs (x, y) of classes that share as many shingles of their lengthened prefixes as both ask for."""
-    side = lambda c: classes.select(F.col("class").alias(c), F.struct("n", "matches", "listed").alias(f"_{c}"))
+    pairs = materialise(pairs, "met")
+    wanted = possibly_in(ends_of(pairs), "class", spec)
+    prefixes = classes.select("class", "n", "matches", "listed")
+    prefixes = materialise(prefixes.mapInArrow(lambda batches: (b.filter(wanted(b.column("class"))) for b in batches), prefixes.schema), "prefixes")
+    side = lambda c: prefixes.select(F.col("class").alias(c), F.struct("n", "matches", "listed").alias(f"_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     n, m = F.col("_x.n"), F.col("_y.n")
     asked, least = F.least("_x.matches", "_y.matches"), overlap(spec, n, m)
@@ -282,28 +298,30 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
         F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("common").alias("common"), F.first("listed").alias("listed")
     )
     classes = materialise(classes, "classes")
+    members = materialise(rows.select("doc_id", "n", "class"), "members")
+    remove(rows, spark)
     shortest = (F.col("n") - F.ceil((spec.num * F.col("n")) / F.lit(spec.den)) + 1).cast("int")
     entries = classes.select("class", "n", "common", F.posexplode(F.slice("listed", F.lit(1), shortest)).alias("pos", "shingle"))
-    hubs = (
-        entries.groupBy("shingle")
-        .agg(F.count("*").alias("many"), F.max(F.struct("common", "class", "n", "pos")).alias("hub"))
-        .where("many > 1")
-        .select("shingle", "hub")
-    )
-    shared = materialise(entries.drop("common").join(hubs, "shingle"), "entries")
+    # most shingles occur once; only their hashes travel to find that out. Aggregates are materialised
+    # before they are joined, so that Spark can split the list of a shingle that very many classes share
+    repeated = entries.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1").select("shingle")
+    shared = materialise(entries.join(materialise(repeated, "repeated"), "shingle", "left_semi"), "entries")
+    hubs = shared.groupBy("shingle").agg(F.max(F.struct("common", "class", "n", "pos")).alias("hub"))
+    shared = materialise(shared.drop("common").join(materialise(hubs, "hubs"), "shingle"), "lists")
+    release(spark)
 
     x = F.struct("class", "n", "pos").alias("x")
     stars = shared.select(x, F.col("hub").alias("y")).where((F.col("x.class") != F.col("y.class")) & may_link(spec, "x", "y"))
     stars = stars.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct()
     stars = materialise(sharing_enough(stars, classes, spec), "stars")
-    links = materialise(compared(docs, stars, classes, spec), "links")
+    links = compared(docs, stars, classes, spec)
 
     # pairs in a list that the stars have left in different components
     label = connected_components(links, "x", "y")
     labelled = shared.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    labelled = materialise(labelled, "labelled")
+    labelled = held = materialise(labelled, "labelled")
     mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    labelled = labelled.join(mixed, "shingle", "left_semi")
+    labelled = labelled.join(materialise(mixed, "mixed"), "shingle", "left_semi")
     y = labelled.select("shingle", F.struct("class", "n", "pos", "component").alias("y"))
     hub_at = label.select(F.col("node").alias("hub_class"), F.col("component").alias("hub_component"))
     left = (
@@ -313,7 +331,7 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
         .select("shingle", F.struct("class", "n", "pos", "component").alias("x"), F.coalesce("hub_component", "hub_class").alias("centre"))
     )
     # every such pair has a side outside the hub's component; if both are, each pair is taken once
-    met = left.join(y, "shingle").where(
+    met = materialise(left, "outside").join(materialise(y, "inside"), "shingle").where(
         (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("centre")) | (F.col("x.class") < F.col("y.class")))
         & may_link(spec, "x", "y")
@@ -321,6 +339,9 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
     pairs = met.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct()
     pairs = sharing_enough(pairs, classes, spec).join(stars, ["x", "y"], "left_anti")
     pairs = materialise(pairs, "pairs")
+    for step in (shared, held):
+        remove(step, spark)
+    release(spark)
     if pairs.isEmpty():
         final = label
     else:
@@ -331,7 +352,7 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
     named = classes.select("class", "first_id").join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("class", "component_id")
-    return rows.join(named, "class", "left").select(
+    return members.join(named, "class", "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
