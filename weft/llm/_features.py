@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import text_of
+from weft.llm._common import bounded_batches, text_of
 
 BITS = 20
 SIZE = 1 << BITS
@@ -163,6 +163,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, most: int
 
     A row labelled more than once has its smallest label; rows without id or label take no part.
     """
+    bounded_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~in_fold(id_col, held_out))
         .groupBy(F.col(id_col).alias("_id"))

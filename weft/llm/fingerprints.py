@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import text_of
+from weft.llm._common import bounded_batches, text_of
 
 #: Sizes in bytes, and numbers of high bits that must be zero before and after the normal size.
 LEAST, NORMAL, LARGEST, STRICT_BITS, LOOSE_BITS = 8, 32, 128, 6, 3
@@ -103,6 +103,7 @@ def likeness(a: dict[int, int], b: dict[int, int]) -> float:
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) for each row."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def of(text: pa.Array) -> pa.Array:
@@ -182,6 +183,7 @@ def edit_probe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     behind the last range the first row of all).
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     ranges = ranges or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]

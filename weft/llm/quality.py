@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import text_of
+from weft.llm._common import bounded_batches, text_of
 from weft.llm._features import SIZE, in_fold, indicators, labelled_sample
 
 
@@ -128,6 +128,7 @@ def score(model: QualityModel, text_col: str = "text") -> Column:
 
 def classify(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for each row."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col), in_fold(id_col, 1).alias("held_out"), score(model, text_col).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )

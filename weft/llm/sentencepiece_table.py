@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import text_of
+from weft.llm._common import bounded_batches, text_of
 from weft.llm.token_counts import grouped
 
 MARK = "▁"
@@ -298,6 +298,7 @@ def piece_table(path: str) -> PieceTable:
 
 def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the ids of each whole text with the end id."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
@@ -320,6 +321,7 @@ def decode_ids(rows: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_
 
 def encode_digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded and decoded again in one pass."""
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def digests(text: pa.Array) -> pa.Array:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import text_of
+from weft.llm._common import bounded_batches, text_of
 from weft.llm._features import SIZE, indicators, labelled_sample
 
 GRADES = 3
@@ -141,4 +141,5 @@ def severity(model: SeverityModel, text_col: str = "text") -> Column:
 
 def grade_texts(docs: DataFrame, model: SeverityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, grade, toxic) for each row."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col), severity(model, text_col).alias("s")).select(id_col, "s.*")
