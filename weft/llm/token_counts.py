@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm._common import fresh_path, text_of
+from weft.llm._common import bounded_batches, fresh_path, materialise, text_of
 
 CACHE_SCHEMA = T.StructType(
     [
@@ -147,6 +147,7 @@ def count_tokens(
     merged where they are read, so a content that fills a third of the table arrives once per task.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     cache_path = cache_path or fresh_path(spark, "token-cache")
     version = tokenizer_digest(tokenizer_path)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -168,6 +169,8 @@ def count_tokens(
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
 
     stored = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
-    return keyed.join(stored, "content_digest", "left").select(
+    # one row for each content here; materialised, so that Spark can split a content that very many rows share
+    found = materialise(keyed.select("content_digest").distinct().join(stored, "content_digest"), "counts")
+    return keyed.join(found, "content_digest", "left").select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

@@ -112,14 +112,14 @@ def parse(data: bytes) -> dict:
 def with_revisits(pages: DataFrame, least_bytes: int = 0, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(page_id, url, payload, digest, kind, refers_to): the records that pages become.
 
-    The smallest id of each digest comes from partial minima; the join with it takes each payload
-    along once, and Spark can split a digest that very many pages share.
+    The smallest id of each digest comes from partial minima and is materialised; the join with it
+    takes each payload along once, and Spark can split a digest that very many pages share.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", base32_sha1(F.col("payload")))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    first = materialise(rows.groupBy("digest").agg(F.min("page_id").alias("first_id")), "first-ids")
     repeats = (F.octet_length("payload") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(first, "digest").select(
         "page_id", "url", "payload", "digest", F.when(repeats, "revisit").otherwise("response").alias("kind"), F.when(repeats, F.col("first_id")).alias("refers_to")
