@@ -8,7 +8,8 @@ labelled rows: thirds of the density are grades 1, 2, 3. A row is judged toxic i
 reaches ``LEAST_PROBABILITY``.
 
 The sample is bounded and chosen by a hash of the id; indicators are screened by the root of their
-likelihood ratio before fitting, so that chance words have no weight.
+likelihood ratio, in itself and against the strongest one's, before fitting, so that chance words have
+no weight.
 
 Defined cases: null and empty texts have no indicators and the severity of the thresholds alone;
 without labelled rows, or with one class only, the severity is the smoothed share of toxic rows;
@@ -66,7 +67,7 @@ def grades(index: np.ndarray, row: np.ndarray, toxic: np.ndarray, z: np.ndarray,
     return np.where(toxic, 1 + np.searchsorted(cuts, density, "left"), 0)
 
 
-def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: float = 5.0, least_rows: int = 4, most_features: int = 4096, steps: int = 600, ridge: float = 1.0) -> SeverityModel:
+def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: float = 5.0, least_share: float = 0.3, least_rows: int = 4, most_features: int = 4096, steps: int = 600, ridge: float = 1.0) -> SeverityModel:
     n, toxic = len(label), label == 1
     if n == 0 or toxic.all() or not toxic.any():
         share = (toxic.sum() + 1) / (n + 2)
@@ -77,7 +78,7 @@ def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: fl
     grade = grades(index, row, toxic, z, sizes)
     z[seen < least_rows] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:most_features]
-    feature = np.sort(best[np.abs(z[best]) >= least_z])
+    feature = np.sort(best[np.abs(z[best]) >= max(least_z, least_share * np.abs(z[best[0]]))])
     place = np.full(SIZE, -1)
     place[feature] = np.arange(len(feature))
     used = place[index] >= 0
