@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm import ngram_join, packing, quality, toxicity
+from weft.llm import ngram_join, packing, quality, token_counts, toxicity
 from weft.llm._common import materialise, table
 
 #: Near duplicates: five-word shingles and a similarity of 0.8 or more.
@@ -50,8 +51,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document in a length bucket and a batch."""
-    return packing.pack(docs.select("doc_id", packing.words("text").alias("length")))
+    """Places every document in a bucket of token counts and a batch."""
+    return packing.pack(token_counts.lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

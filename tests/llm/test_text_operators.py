@@ -191,3 +191,16 @@ def test_packing_places_every_row_once(spark):
 def test_words(spark):
     frame = spark.createDataFrame([(t,) for t in (None, "", "  ", "a", " a  b\tc\n")], "text string")
     assert [r[0] for r in frame.select(packing.words("text")).collect()] == [0, 0, 0, 1, 3]
+
+
+def test_packing_counts_tokens(spark):
+    from weft.llm import queries
+
+    texts = ODD + ["x1" * 40_000]
+    got = {r.doc_id: r.length for r in token_counts.lengths(documents(spark, texts), WORDS).collect()}
+    assert [got[i] for i in range(len(texts))] == library_counts(texts)
+    packed = packing.pack(token_counts.lengths(documents(spark, texts), WORDS)).where("over_budget").collect()
+    assert [r.doc_id for r in packed] == [len(texts) - 1]  # one word, but more tokens than the budget
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, WORDS).collect())
+    assert sorted((r.doc_id, r.length) for r in queries.op10_packing(spark, "/root/testdata/sf0.001").collect()) == want

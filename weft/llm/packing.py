@@ -9,6 +9,8 @@ The histogram is exact up to 1,024 tokens and has 512 steps an octave above, so
 follow the input; a bin above counts at its longest row. Rows are numbered inside a bucket in two
 steps (number within a shard, plus the rows of the shards before), so no bucket meets in one task.
 
+Lengths are token counts of a tokenizer (``token_counts.lengths``), which is what the queries pack.
+
 Defined cases: null or empty text has length 0; null ids are packed like others; repeated rows each
 get a place; a row longer than the budget has a batch of its own, with ``over_budget`` set, and is
 never cut; an empty table gives an empty result; extra columns are ignored.
@@ -26,7 +28,7 @@ EXACT, STEPS, SHARD_ROWS = 1024, 512, 1000
 
 
 def words(text_col: str = "text") -> Column:
-    """Number of words between white space, the length that is packed where no token counts are given."""
+    """Number of words between white space. These are not tokens: a budget over this length is one of words."""
     text = F.trim(F.regexp_replace(text_of(text_col), r"[ \t\n\x0B\f\r]+", " "))
     return F.when(text == "", F.lit(0)).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit(" "))) + 1).cast("long")
 
@@ -68,7 +70,10 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
 
 
 def pack(rows: DataFrame, *, id_col: str = "doc_id", length_col: str = "length", buckets: int = 16, budget: int = 65_536) -> DataFrame:
-    """(id, length, bucket, padded_length, batch, slot, over_budget) for each row of ``rows``."""
+    """(id, length, bucket, padded_length, batch, slot, over_budget) for each row of ``rows``.
+
+    ``budget`` is in the unit of ``length_col``; with ``token_counts.lengths`` both are tokens.
+    """
     rows = rows.select(F.col(id_col), F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)).alias("length"))
     rows = materialise(rows, "lengths")
     hist = rows.groupBy(grid(F.col("length")).alias("bin")).agg(F.max("length").alias("longest"), F.count("*").alias("n")).collect()

@@ -113,11 +113,15 @@ def grouped(texts: list[bytes], most: int = GROUP_BYTES):
         yield texts[start:]
 
 
+def counter_of(path: str) -> PieceCounter:
+    if path not in _counters:
+        _counters[path] = PieceCounter(path)
+    return _counters[path]
+
+
 def _counting(path: str):
     def run(batches):
-        if path not in _counters:
-            _counters[path] = PieceCounter(path)
-        counter = _counters[path]
+        counter = counter_of(path)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             counts = list(chain.from_iterable(counter.count(g) for g in grouped(texts)))
@@ -128,6 +132,23 @@ def _counting(path: str):
     return run
 
 
+def _measuring(path: str, names: list[str]):
+    def run(batches):
+        counter = counter_of(path)
+        for ids, texts in batches:
+            counts = list(chain.from_iterable(counter.count(g) for g in grouped(texts.cast(pa.binary()).to_pylist())))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64())], names)
+
+    return run
+
+
+def lengths(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, length) for each row of ``docs``: its number of tokens, counted where the row is read; no text travels."""
+    bounded_batches(docs.sparkSession)
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("length", T.LongType())])
+    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(_measuring(tokenizer_path, out.names), out)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The stored counts; none where nothing has been stored yet. Entries appended twice count once."""
     jvm = spark.sparkContext._jvm
