@@ -119,3 +119,11 @@ def test_streaming_counters(spark, tmp_path):
     query.awaitTermination(120)
     got = [(r.user_id, r.clicks, r.total_time) for r in spark.table("counted").collect()]
     assert got == [("u", 2, 12.0)]  # the last window is still open
+
+
+def test_exam_expand_has_every_case(spark):
+    from weft.plans.catalogue import QUERIES
+
+    by_marks = lambda name: {(r.score, r.marks): r.best for r in QUERIES[name](spark, "").collect()}
+    found = by_marks("exam_expand")
+    assert len(found) == len(exam.EXAMPLES) and found == by_marks("exam_best_score") and 205 in found.values()

@@ -155,10 +155,6 @@ def best_silhouette_k(spark: SparkSession, d: str) -> DataFrame:
     return clustering.best_k(clustering.silhouette_by_k(user_points(spark, d).persist()))
 
 
-def exam_cases(spark: SparkSession, most_marks: int = 99) -> DataFrame:
-    return exam.examples(spark).where(F.size("marks") <= most_marks)
-
-
 def exam_rows(found: DataFrame) -> DataFrame:
     return found.select(F.col("score").cast("bigint").alias("score"), joined("marks"), "best")
 
@@ -209,7 +205,7 @@ QUERIES: dict[str, Query] = {
     "centroid_scatter": centroid_scatter,
     "sample_users": sample_users,
     "famd_eigenvalues": famd_eigenvalues,
-    "exam_best_score": lambda s, d: exam_rows(exam_cases(s).withColumn("best", exam.best_score())),
-    "exam_greedy": lambda s, d: exam_rows(exam_cases(s).withColumn("best", exam.greedy_score())),
-    "exam_expand": lambda s, d: exam_rows(exam.expand(exam_cases(s, 5))),
+    "exam_best_score": lambda s, d: exam_rows(exam.examples(s).withColumn("best", exam.best_score())),
+    "exam_greedy": lambda s, d: exam_rows(exam.examples(s).withColumn("best", exam.greedy_score())),
+    "exam_expand": lambda s, d: exam_rows(exam.expand(exam.examples(s))),
 }
