@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm import ngram_join, packing, quality, token_counts, toxicity
-from weft.llm._common import materialise, table
+from weft.llm._common import materialise, table, text_of
 
 #: Near duplicates: five-word shingles and a similarity of 0.8 or more.
 NEAR = ngram_join.JoinSpec(width=5, num=80)
@@ -35,19 +35,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component; documents without words or id stay.
 
-    Rows that share an id and a component count as one document, and the one with the smallest text stays.
+    Rows that share an id and a component (or have no words) count as one document, and the one with
+    the smallest text stays. Rows that share an id only are judged by their texts, each on its own.
     """
-    found = ngram_join.ngram_components(docs, NEAR)
-    kept = found.where((F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("times")).select(F.col("doc_id").alias("_id"), "times")
-    kept = materialise(kept, "kept")
+    found = ngram_join.row_components(docs, NEAR)
+    first = F.col("doc_id") == F.col("component_id")
+    kept = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times"), F.max(first).alias("_first"))
+    kept = materialise(kept.where("_first").select(F.col("doc_id").alias("_id"), "times"), "kept")
     once, more = kept.where("times = 1").select("_id"), kept.where("times > 1").select("_id")
     out = docs.join(once, docs["doc_id"] == once["_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
     if more.isEmpty():
         return out
     repeated = docs.join(more, docs["doc_id"] == more["_id"], "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    names = docs.columns
-    return out.unionByName(repeated.select(F.struct(*names).alias("_row"), number.alias("_n")).where("_n = 1").select("_row.*"))
+    rows = repeated.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_at"), ngram_join.text_class(text_of("text"), NEAR).alias("_class"))
+    heads = found.join(more, found["doc_id"] == more["_id"], "left_semi").where(first).select("doc_id", "class", "component").distinct()
+    rows = rows.join(heads, (rows["_at"] == heads["doc_id"]) & rows["_class"].eqNullSafe(heads["class"]))
+    number = F.row_number().over(Window.partitionBy("_at", "component").orderBy("_row.text"))
+    return out.unionByName(rows.select("_row", number.alias("_n")).where("_n = 1").select("_row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,3 +249,12 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 7, 8, 10, None], key=repr)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id < 0"), SF).count() == 0
+
+
+def test_near_duplicates_judge_each_text_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b + " more"), (5, ""), (5, None), (3, c), (6, c + " more"), (6, "own text"), (8, a + " more")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(5, a), (5, b), (5, ""), (3, c), (6, "own text")])

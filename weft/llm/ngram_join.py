@@ -87,6 +87,18 @@ def class_of(found: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(found.tobytes()), np.uint64).view(np.int64))
 
 
+def text_class(text: Column, spec: JoinSpec) -> Column:
+    """The class of each text, null without words."""
+    width = spec.width
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        of = Shingler(width)
+        return pa.array([class_of(s) if len(s) else None for s in map(of.set, texts.cast(pa.binary()).to_pylist())], pa.int64())
+
+    return run(text)
+
+
 # -- how common shingles are ---------------------------------------------------------------------
 
 BLOCK = 1 << 14
@@ -287,6 +299,16 @@ def sharing_enough(pairs: DataFrame, classes: DataFrame, spec: JoinSpec) -> Data
 
 def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row; the component's id is its smallest."""
+    found = row_components(docs, spec, id_col=id_col, text_col=text_col)
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def row_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, class, component, component_id) for each row.
+
+    Where ids repeat, components can share their smallest id; ``component`` tells them apart. It and
+    ``class`` are null for rows without words.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -351,9 +373,12 @@ def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: st
     # components are named by classes so far; name them by the smallest id
     named = classes.select("class", "first_id").join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select("class", "component_id")
+    named = named.join(least, "component").select("class", "component", "component_id")
+    has_words = F.col("n") > 0
     return members.join(named, "class", "left").select(
-        F.col("doc_id").alias(id_col),
-        F.col("n").alias("n_shingles"),
+        "doc_id",
+        "n",
+        F.when(has_words, F.col("class")).alias("class"),
+        F.when(has_words, F.col("component")).alias("component"),
         F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
