@@ -163,8 +163,8 @@ SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END),
     "exam_best_score": f"WITH {_EXAMS} SELECT {_MARKS}, CAST(CASE WHEN len(marks) % 2 = 0 THEN score ELSE 0 END + coalesce(list_sum(list_reverse_sort(marks)[1 : (len(marks) + 1) // 2]), 0) - coalesce(list_sum(list_sort(marks)[1 : len(marks) // 2]), 0) AS BIGINT) AS best FROM e",
     "exam_greedy": f"WITH {_EXAMS} SELECT {_MARKS}, CAST(list_reduce(list_concat([score], list_reverse_sort(marks)), lambda a, m: 2 * a - m) AS BIGINT) AS best FROM e",
     "exam_expand": f"""WITH RECURSIVE {_EXAMS}, st AS (
-  SELECT score, marks, CAST(score AS BIGINT) AS s, marks AS rest FROM e WHERE len(marks) <= 5
-  UNION ALL
+  SELECT score, marks, CAST(score AS BIGINT) AS s, list_sort(list_transform(marks, lambda m: CAST(m AS BIGINT))) AS rest FROM e
+  UNION -- the rest stays sorted, so equal states merge
   SELECT score, marks, rest[i] AS s, list_transform(list_concat(rest[1 : i - 1], rest[i + 1 :]), lambda x: x + s - rest[i]) AS rest
   FROM (SELECT *, unnest(range(1, len(rest) + 1)) AS i FROM st WHERE len(rest) > 0)
 ) SELECT {_MARKS}, max(s) AS best FROM st WHERE len(rest) = 0 GROUP BY ALL""",
