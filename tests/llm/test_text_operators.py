@@ -173,6 +173,35 @@ def test_bucket_bounds_against_all_choices():
         assert len(found) <= k and found[-1] == lengths[-1] and padding(found) == best
 
 
+def test_bucket_bounds_of_long_lengths_and_many_bins():
+    """Lengths far above 1,024 are no coarser than others; halved ranges find what all starts give."""
+    rng = np.random.RandomState(12)
+    lengths = np.sort(rng.choice(np.arange(900, 60_000), 9, replace=False))
+    counts = rng.randint(1, 20, len(lengths))
+    padding = lambda bounds: sum(int(c) * (min(b for b in bounds if b >= n) - int(n)) for n, c in zip(lengths, counts))
+    best = min(padding({*c, lengths[-1]}) for c in itertools.combinations(lengths, 3))
+    assert padding(packing.bucket_bounds(lengths, counts, 4)) == best
+    for n in (1, 2, 3, 17, 200):
+        size, before = np.sort(rng.choice(10_000, n, replace=False)), np.concatenate([[0], np.cumsum(rng.randint(1, 9, n))])
+        tail = np.concatenate([[0], size[:-1] * before[1:-1]])
+        options = np.where(np.tri(n, dtype=bool), tail + size[:, None] * (before[1:][:, None] - before[:-1]), 1 << 60)
+        assert (packing.best_starts(tail, size, before) == options.argmin(1)).all()
+    every = np.arange(65_537)
+    assert len(packing.bucket_bounds(every, np.ones_like(every), 16)) == 16
+
+
+def test_packing_spreads_repeated_rows_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(12_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).alias("length"))
+    found = packing.pack(rows, budget=70)
+    assert found.groupBy("batch").count().where("count <> 10").count() == 0
+    assert found.select("batch", "slot").distinct().count() == 12_000
+    # the window over shards gets about a thousand rows for each
+    written = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "pmod(xxhash64(" in x and "row" in x]
+    assert written
+
+
 def test_packing_places_every_row_once(spark):
     rng = np.random.RandomState(11)
     lengths = [0, 1, 5, 5000, 99_999] + [int(x) for x in rng.lognormal(5, 1, 3000)]

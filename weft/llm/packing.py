@@ -1,19 +1,25 @@
 """Packing by optimal length buckets.
 
-The lengths of all rows make one histogram. Dynamic programming over it chooses the bucket
-boundaries with the least padding, where each row is padded to the longest row of its bucket. Inside
-a bucket, rows are dealt in order into batches of as many rows as the token budget holds at the
-bucket's padded length.
-
-The histogram is exact up to 1,024 tokens and has 512 steps an octave above, so its size does not
-follow the input; a bin above counts at its longest row. Rows are numbered inside a bucket in two
-steps (number within a shard, plus the rows of the shards before), so no bucket meets in one task.
+The lengths of all rows that a batch can hold make one exact histogram: a bin for each length up to the
+budget, so its size is bounded by the budget, not by the input. Dynamic programming over it chooses the
+bucket boundaries with the least padding, where each row is padded to the longest row of its bucket.
+Inside a bucket, rows are dealt in order into batches of as many rows as the token budget holds at the
+bucket's padded length. A row longer than the budget has a batch of its own in the bucket after the
+others, without padding, so it has no part in the choice.
+
+The last bucket's padding is size(j) (before(j + 1) - before(i)) for lengths i..j, whose best i rises
+with j; so each step of the programme halves its range again and again, n log n in all, with whole
+numbers. Rows are numbered inside a bucket in two steps (number within a shard, plus the rows of the
+shards before). Shards are dealt by a number that each row gets when lengths are written, so repeated
+rows and null ids spread like others; a bucket has at most ``MOST_SHARDS``.
 
 Lengths are token counts of a tokenizer (``token_counts.lengths``), which is what the queries pack.
 
-Defined cases: null or empty text has length 0; null ids are packed like others; repeated rows each
-get a place; a row longer than the budget has a batch of its own, with ``over_budget`` set, and is
-never cut; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null or empty text has length 0; very long texts are counted whole; null ids are packed
+like others; repeated rows each get a place; of equal choices of boundaries the one with the smaller
+lengths in its last buckets is taken, and rows of one length go by shard, id and length; a row longer
+than the budget has ``over_budget`` set and is never cut; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weft.llm._common import materialise, text_of
 
-EXACT, STEPS, SHARD_ROWS = 1024, 512, 1000
+SHARD_ROWS, MOST_SHARDS = 1000, 10_000
 
 
 def words(text_col: str = "text") -> Column:
@@ -33,11 +39,31 @@ def words(text_col: str = "text") -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit(" "))) + 1).cast("long")
 
 
-def grid(length: Column) -> Column:
-    """The histogram's bin of a length: itself, or the next multiple of a step that grows with it."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
-    step = F.pow(F.lit(2.0), F.greatest(octave - int(np.log2(STEPS)), F.lit(0))).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
+def best_starts(tail: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For each j the first i <= j with the least tail[i] + size[j] (before[j + 1] - before[i]).
+
+    The best i never falls as j rises, so the middle of a run of j bounds both of its halves; all
+    runs of one depth are done together.
+    """
+    n = len(size)
+    choice = np.zeros(n, np.int64)
+    runs = np.array([[0, n - 1, 0, n - 1]])  # first and last j, least and greatest i
+    while len(runs):
+        low, high, least, most = runs.T
+        middle = (low + high) // 2
+        width = np.minimum(most, middle) - least + 1
+        start = np.cumsum(width) - width
+        run = np.repeat(np.arange(len(runs)), width)
+        i = np.arange(width.sum()) - start[run] + least[run]
+        value = tail[i] - size[middle][run] * before[i]
+        smallest = np.minimum.reduceat(value, start)
+        hits = np.flatnonzero(value == smallest[run])
+        found = i[hits[np.unique(run[hits], return_index=True)[1]]]
+        choice[middle] = found
+        left = np.stack([low, middle - 1, least, found], 1)[low < middle]
+        right = np.stack([middle + 1, high, found, most], 1)[middle < high]
+        runs = np.concatenate([left, right])
+    return choice
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -45,19 +71,15 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
     n = len(lengths)
     if n == 0:
         return []
-    size, before = lengths.astype(np.float64), np.concatenate([[0.0], np.cumsum(counts, dtype=np.float64)])
+    size, before = lengths.astype(np.int64), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     best = size * before[1:]  # padded size of rows 0..j in one bucket
     back = []
     for _ in range(1, min(buckets, n)):
-        cost, choice = np.empty(n), np.empty(n, np.int64)
-        tail = np.concatenate([[0.0], best[:-1]])
-        for j in range(n):
-            # rows i..j in the last bucket, those before it as well as possible
-            options = tail[: j + 1] + size[j] * (before[j + 1] - before[: j + 1])
-            choice[j] = np.argmin(options)
-            cost[j] = options[choice[j]]
+        # rows i..j in the last bucket, those before it as well as possible
+        tail = np.concatenate([[0], best[:-1]])
+        choice = best_starts(tail, size, before)
         back.append(choice)
-        best = cost
+        best = tail[choice] + size * (before[1:] - before[choice])
     bounds, j = [], n - 1
     for choice in reversed(back):
         bounds.append(int(lengths[j]))
@@ -75,37 +97,36 @@ def pack(rows: DataFrame, *, id_col: str = "doc_id", length_col: str = "length",
     ``budget`` is in the unit of ``length_col``; with ``token_counts.lengths`` both are tokens.
     """
     rows = rows.select(F.col(id_col), F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)).alias("length"))
-    rows = materialise(rows, "lengths")
-    hist = rows.groupBy(grid(F.col("length")).alias("bin")).agg(F.max("length").alias("longest"), F.count("*").alias("n")).collect()
-    hist.sort(key=lambda r: r["bin"])
-    longest, counts = np.array([r["longest"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64)
-    bounds = bucket_bounds(longest, counts, buckets)
-    total = [int(counts[(longest <= hi) & (longest > lo)].sum()) for lo, hi in zip([-1, *bounds], bounds)]
-
-    length, shard = F.col("length"), F.pmod(F.xxhash64(id_col, "length"), F.lit(1))
-    bucket, padded, capacity = F.lit(0), F.lit(0), F.lit(1)
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "lengths")
+    length, over = F.col("length"), F.col("length") > budget
+    # at most budget + 2 bins
+    hist = rows.groupBy(F.when(~over, length).alias("bin")).agg(F.count("*").alias("n")).collect()
+    beyond = sum(r["n"] for r in hist if r["bin"] is None)
+    hist = sorted((r["bin"], r["n"]) for r in hist if r["bin"] is not None)
+    lengths, counts = (np.array(c, np.int64) for c in zip(*hist)) if hist else (np.empty(0, np.int64),) * 2
+    bounds = bucket_bounds(lengths, counts, buckets)
+    totals = [int(counts[(lengths <= hi) & (lengths > lo)].sum()) for lo, hi in zip([-1, *bounds], bounds)]
+
+    shards = lambda total: F.lit(max(1, min(MOST_SHARDS, -(-total // SHARD_ROWS))))
+    bucket, padded, capacity, parts = F.lit(len(bounds)), length, F.lit(1), shards(beyond)
     for k in range(len(bounds) - 1, -1, -1):
         fits = length <= bounds[k]
-        last = k == len(bounds) - 1
-        pick = lambda value, rest, fits=fits, last=last: value if last else F.when(fits, value).otherwise(rest)
-        shard = pick(F.pmod(F.xxhash64(id_col, "length"), F.lit(-(-total[k] // SHARD_ROWS))), shard)
-        bucket, padded = pick(F.lit(k), bucket), pick(F.lit(bounds[k]), padded)
-        capacity = pick(F.lit(max(1, budget // max(1, bounds[k]))), capacity)
+        pick = lambda value, rest, fits=fits: F.when(fits, F.lit(value)).otherwise(rest)
+        bucket, padded, parts = pick(k, bucket), pick(bounds[k], padded), F.when(fits, shards(totals[k])).otherwise(parts)
+        capacity = pick(max(1, budget // max(1, bounds[k])), capacity)
     placed = rows.select(
-        id_col, "length", bucket.cast("int").alias("bucket"), padded.cast("long").alias("padded_length"),
-        capacity.cast("long").alias("capacity"), shard.cast("long").alias("shard"),
+        id_col, "length", "row", bucket.cast("int").alias("bucket"), padded.cast("long").alias("padded_length"),
+        capacity.cast("long").alias("capacity"), F.pmod(F.xxhash64(id_col, "length", "row"), parts).alias("shard"), over.alias("over_budget"),
     )
-    shards = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
-    offset = shards.select(
-        "bucket", "shard", (F.sum("n").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("n")).alias("offset")
-    )
-    number = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(F.col(id_col).asc_nulls_first(), "length"))
+    sizes = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
+    offset = sizes.select("bucket", "shard", (F.sum("n").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("n")).alias("offset"))
+    number = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(F.col(id_col).asc_nulls_first(), "length", "row"))
     at = F.col("offset") + F.col("number") - 1
     return (
         placed.withColumn("number", number)
         .join(offset, ["bucket", "shard"])
         .select(
             id_col, "length", "bucket", "padded_length", F.floor(at / F.col("capacity")).cast("long").alias("batch"),
-            (at % F.col("capacity")).cast("int").alias("slot"), (F.col("length") > budget).alias("over_budget"),
+            (at % F.col("capacity")).cast("int").alias("slot"), "over_budget",
         )
     )
