@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import ngram_join, packing, quality, token_counts, toxicity
@@ -50,8 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = repeated.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_at"), ngram_join.text_class(text_of("text"), NEAR).alias("_class"))
     heads = found.join(more, found["doc_id"] == more["_id"], "left_semi").where(first).select("doc_id", "class", "component").distinct()
     rows = rows.join(heads, (rows["_at"] == heads["doc_id"]) & rows["_class"].eqNullSafe(heads["class"]))
-    number = F.row_number().over(Window.partitionBy("_at", "component").orderBy("_row.text"))
-    return out.unionByName(rows.select("_row", number.alias("_n")).where("_n = 1").select("_row.*"))
+    first_of = rows.groupBy("_at", "component").agg(F.min_by("_row", text_of("_row.text")).alias("_row"))
+    return out.unionByName(first_of.select("_row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

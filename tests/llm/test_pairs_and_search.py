@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from weft.llm import ngram_join, topk
+from weft.llm import hot_lists, ngram_join, topk
 from weft.llm.components import connected_components
 
 DOCS = "doc_id bigint, text string, component_id string, n string"
@@ -83,6 +83,66 @@ def test_empty_table(spark):
     assert run(spark, [], ngram_join.JoinSpec()) == []
 
 
+def group_of_copies(seed, size, words, edits):
+    """Copies of one text, which isn't among them, each with so many words replaced at random places."""
+    rng = random.Random(seed)
+    base, out = [f"b{i}" for i in range(words)], []
+    for k in range(size):
+        copy = list(base)
+        for at in rng.sample(range(words), edits(rng)):
+            copy[at] = f"r{k}x{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def rows_by_step(monkeypatch):
+    """The rows of every step that is materialised, by its label."""
+    made = {}
+
+    def counted(module, plain):
+        def step(df, label):
+            out = plain(df, label)
+            made[label] = max(made.get(label, 0), out.count())
+            return out
+
+        monkeypatch.setattr(module, "materialise", step)
+
+    for module in (ngram_join, hot_lists):
+        counted(module, module.materialise)
+    return made
+
+
+@pytest.mark.parametrize(("size", "words", "edits"), [(100, 200, lambda r: 3), (200, 200, lambda r: 3), (400, 200, lambda r: 3), (150, 60, lambda r: 1), (150, 45, lambda r: r.randint(0, 2))])
+def test_groups_of_near_copies_do_not_make_pairs(spark, monkeypatch, size, words, edits):
+    made = rows_by_step(monkeypatch)
+    rows = list(enumerate(group_of_copies(size, size, words, edits)))
+    spec = ngram_join.JoinSpec(width=5, num=80)
+    assert run(spark, rows, spec) == components(rows, spec)
+    for step in ("met", "sharing", "pairs", "hot-pairs"):
+        assert made.get(step, 0) <= 16 * size, (step, made)
+
+
+def test_blocks_of_long_lists(spark, monkeypatch):
+    """Long lists in many small blocks, with prefixes of different lengths, give the components of all pairs."""
+    texts = group_of_copies(1, 60, 50, lambda r: r.randint(0, 2)) + group_of_copies(2, 40, 90, lambda r: 2) + near_copies(3)
+    for settings in ({"block_rows": 7}, {"block_tokens": 300, "partners_per_match": 40}, {"small_list": 2, "partners_per_match": 1000}):
+        rows = list(enumerate(texts))
+        spec = ngram_join.JoinSpec(**({"width": 5, "num": 80, "small_list": 4} | settings))
+        assert run(spark, rows, spec) == components(rows, spec)
+
+
+def test_shared_tokens_and_forest():
+    rng = np.random.RandomState(7)
+    sets = [np.unique(rng.randint(0, 60, rng.randint(0, 40))).astype(np.uint64) << np.uint64(40) for _ in range(30)]
+    got = hot_lists.shared_tokens(sets[:12], sets[12:])
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]).all()
+    a, b = rng.randint(0, 40, 30), rng.randint(0, 40, 30)
+    a, b = a[a != b], b[a != b]
+    label, chosen = hot_lists.spanning(a, b, 40)
+    assert (label[a] == label[b]).all() and len(chosen) == 40 - len(set(label.tolist()))
+    assert (hot_lists.spanning(a[chosen], b[chosen], 40)[0] == label).all()
+
+
 def test_prefixes_share_enough():
     """Any two sets at the threshold share as many listed shingles as the smaller demand of the two."""
     rng, spec = np.random.RandomState(3), ngram_join.JoinSpec(width=3, num=80)
@@ -134,7 +194,7 @@ def plain_top(rows, spec):
     return sorted(out)
 
 
-@pytest.mark.parametrize("spec", [topk.TopKSpec(), topk.TopKSpec(k=5, every=3, pivots=4, annulus_rows=16, block_queries=10, steps=32)])
+@pytest.mark.parametrize("spec", [topk.TopKSpec(), topk.TopKSpec(k=5, every=3, pivots=4, annulus_rows=16, group_rows=40, block_queries=10, steps=32)])
 def test_top_k_is_that_of_all_pairs(spark, spec):
     rng = np.random.RandomState(12)
     rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(180)]
@@ -152,15 +212,43 @@ def test_top_k_of_few_and_of_large_values(spark):
 
 
 def test_bounds_never_cut_a_score():
-    """The bound of an annulus is at least every score inside it."""
+    """The bound of any run of distances is at least every score inside it."""
     rng = np.random.RandomState(13)
     x = np.floor(rng.normal(size=(300, 8)) * 64)
     most = float((x * x).sum(1).max())
     centre = topk.choose_pivots(topk.lifted(x, most), 8)
     away = topk.distances(topk.lifted(x, most), centre)
     q = x[:20]
-    block = topk.Block(np.arange(20), q, (q * q).sum(1), topk.distances(np.concatenate([q, np.zeros((20, 1))], 1), centre), np.zeros(20), np.zeros(20))
+    d, length = topk.distances(np.concatenate([q, np.zeros((20, 1))], 1), centre), (q * q).sum(1)
     for p in range(len(centre)):
         mine = away[:, p].argsort()[:50]
-        bound = topk.upper_bound(block, slice(None), p, away[mine, p].min(), away[mine, p].max(), most)
-        assert ((q @ x[mine].T).max(1) <= bound).all()
+        groups = topk.Groups(np.array([p]), away[mine, p].min(keepdims=True), away[mine, p].max(keepdims=True), np.array([50]))
+        assert ((q @ x[mine].T).max(1) <= topk.upper_bound(length, groups.gaps(d)[:, 0], most)).all()
+
+
+def test_groups_hold_every_step_once():
+    rng = np.random.RandomState(14)
+    hist = [(p, s, int(rng.choice([1, 5, 30, 400]))) for p in range(4) for s in sorted(rng.choice(50, 20, replace=False).tolist())]
+    groups, runs = topk.cut_groups(hist, 0.5, 100)
+    assert groups.rows.max() <= 100 and groups.rows.sum() == sum(n for *_, n in hist)
+    for p, s, _ in hist:
+        (_, a, b, first, parts), = [r for r in runs if r[0] == p and r[1] <= s <= r[2]]
+        for g in range(first, first + parts):
+            assert groups.pivot[g] == p and groups.low[g] <= s * 0.5 and (s + 1) * 0.5 <= groups.high[g]
+
+
+def test_clustered_vectors_leave_most_rows_unread(spark):
+    """Few dimensions and clusters: the search stops long before all rows, and the answer is that of all pairs."""
+    rng = np.random.RandomState(15)
+    angle = rng.choice(24, 6000) * (2 * np.pi / 24) + rng.normal(0, 0.01, 6000)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.stack([np.cos(angle), np.sin(angle)], 1) * 20)]
+    spec = topk.TopKSpec(k=10, every=50, pivots=24, annulus_rows=32, group_rows=128, block_queries=16)
+    found, scored = topk.search_counted(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), spec)
+    got = sorted(tuple(r) for r in found.collect())
+    x = np.floor(np.array([v for _, v in rows]) * spec.scale).astype(np.int64)
+    for q in range(0, 6000, 50):
+        score = x @ x[q]
+        order = np.lexsort((np.arange(6000), -score))
+        wanted = [(q, r + 1, int(v), int(score[v])) for r, v in enumerate([v for v in order if v != q][:10])]
+        assert got[q // 50 * 10 : q // 50 * 10 + 10] == wanted
+    assert 0 < scored.value < 0.1 * 120 * 6000

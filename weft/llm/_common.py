@@ -30,11 +30,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: the shuffle files of a query go when it ends. Nothing reads them later where the result is a written table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    The shuffle files of the write go with its end; the session's setting for other queries stays as it is.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, label), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df_or_path, spark: SparkSession) -> None:
@@ -58,10 +73,32 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_kept: dict[str, object] = {}
+
+
+def kept_by_worker(name: str, make):
+    """What a Python worker keeps between batches and tasks: the last such object only, as workers serve one stage after another."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def hash_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of the columns ``by`` (then the columns themselves).
+
+    A bound on the hash leaves about twice as many rows before they are ordered, whatever the number
+    of tasks, so little more than ``most`` rows travel; where it leaves too few, it is given up.
+    """
+    span = 1 << 62
+    rows = rows.withColumn("_hash", F.pmod(F.xxhash64(*by), F.lit(span)))
+    total = rows.count()
+    if total > 4 * most:
+        few = rows.where(F.col("_hash") < F.lit(int(2 * most / total * span)))
+        if few.count() >= most:
+            rows = few
+    return rows.orderBy("_hash", *by).limit(most).drop("_hash")
 
 
 def text_of(name: str) -> Column:

@@ -13,9 +13,11 @@ whole sequence is one. Two texts link when their sets' Jaccard similarity is at
    the prefixes lengthened for it.
 3. In each shingle's list the class whose prefix is most common is the hub; all others are compared
    with it. These links are true ones and join most of a group of near copies in linear work.
-4. Then all pairs in a list that aren't in one component yet are met, under the positions that their
-   sizes allow, and those that share enough are compared. So no link between components is lost, and
-   the pairs within a component aren't listed.
+4. Then pairs in a list that aren't in one component yet are met. Lists of at most ``small_list``
+   classes give them as rows, under the positions that their sizes allow; those that share enough are
+   compared. Longer lists are compared inside tasks, in blocks, by prefixes that grow with the number
+   of partners (``hot_lists``), and give links only. So no link between components is lost, pairs
+   within a component aren't listed, and rows don't grow with the square of a group.
 5. Pairs are compared by their whole sets, which are read again from the texts of the classes in
    question only. Components of the links give the result.
 
@@ -35,8 +37,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import bounded_batches, materialise, release, remove, text_of
+from weft.llm._common import bounded_batches, kept_by_worker, materialise, remove, text_of
 from weft.llm.components import connected_components
+from weft.llm.hot_lists import group_key, hot_pairs
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -50,6 +53,11 @@ class JoinSpec:
     #: Most shingles that a pair can be asked to share, and the cost of a comparison in listed entries.
     most_matches: int = 8
     comparison_cost: float = 6.0
+    #: Classes of a list whose pairs become rows; in longer ones, partners for which one more shared shingle is asked, and the size of a block.
+    small_list: int = 32
+    partners_per_match: int = 1
+    block_rows: int = 512
+    block_tokens: int = 1 << 19
     #: Cells of the sketch (4 bytes each), and bits of the set of wanted ids.
     sketch_cells: int = 1 << 20
     id_bits: int = 1 << 23
@@ -82,6 +90,10 @@ class Shingler:
         return np.unique(self.all(text))
 
 
+def shingler(width: int) -> Shingler:
+    return kept_by_worker(f"shingles of {width}", lambda: Shingler(width))
+
+
 def class_of(found: np.ndarray) -> int:
     """A signed 64-bit hash of a whole set."""
     return int(np.array(xxhash.xxh3_64_intdigest(found.tobytes()), np.uint64).view(np.int64))
@@ -93,7 +105,7 @@ def text_class(text: Column, spec: JoinSpec) -> Column:
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        of = Shingler(width)
+        of = shingler(width)
         return pa.array([class_of(s) if len(s) else None for s in map(of.set, texts.cast(pa.binary()).to_pylist())], pa.int64())
 
     return run(text)
@@ -109,7 +121,7 @@ def sketch(texts: DataFrame, spec: JoinSpec) -> np.ndarray:
     width, cells = spec.width, spec.sketch_cells
 
     def count(batches):
-        total, of, buffer, size = np.zeros(cells, np.int64), Shingler(width), [], 0
+        total, of, buffer, size = np.zeros(cells, np.int64), shingler(width), [], 0
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 buffer.append((of.all(text) & np.uint64(cells - 1)).astype(np.int32))
@@ -173,7 +185,7 @@ def set_rows(docs: DataFrame, counts, spec: JoinSpec) -> DataFrame:
     """One row for each text: its set's size, class and listed shingles."""
 
     def run(batches):
-        of = Shingler(spec.width)
+        of = shingler(spec.width)
         for batch in batches:
             rows = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -224,15 +236,16 @@ def possibly_in(ids: DataFrame, id_col: str, spec: JoinSpec):
     return test
 
 
-def whole_sets(docs: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(class, data): the sorted set of each of the classes, from the text of its first document."""
+def whole_sets(docs: DataFrame, classes: DataFrame, spec: JoinSpec, counts=None) -> DataFrame:
+    """(class, data): the sorted set of each of the classes, from the text of its first document; with ``counts`` in the order of prefixes."""
     wanted = possibly_in(classes, "first_id", spec)
+    arranged = lambda f: f if counts is None else f[np.lexsort((f, counts.value[(f & np.uint64(len(counts.value) - 1)).astype(np.int64)]))]
 
     def run(batches):
-        of = Shingler(spec.width)
+        of = shingler(spec.width)
         for batch in batches:
             texts = batch.column("text").filter(wanted(batch.column("doc_id"))).cast(pa.binary()).to_pylist()
-            rows = [(class_of(f), f.tobytes()) for f in map(of.set, texts) if len(f)]
+            rows = [(class_of(f), arranged(f).tobytes()) for f in map(of.set, texts) if len(f)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "data"])
 
@@ -267,7 +280,8 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, spec: JoinSp
     wanted = materialise(ends_of(pairs).join(classes.select("class", "first_id"), "class"), "wanted")
     sets = materialise(whole_sets(docs, wanted, spec), "whole-sets")
     links = materialise(linked(pairs, sets, spec), "links")
-    remove(sets, docs.sparkSession)
+    for step in (wanted, sets):
+        remove(step, docs.sparkSession)
     return links
 
 
@@ -284,8 +298,7 @@ def may_link(spec: JoinSpec, x: str, y: str) -> Column:
 
 
 def sharing_enough(pairs: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Pairs (x, y) of classes that share as many shingles of their lengthened prefixes as both ask for."""
-    pairs = materialise(pairs, "met")
+    """Those of the materialised pairs (x, y) of classes that share as many shingles of their lengthened prefixes as both ask for."""
     wanted = possibly_in(ends_of(pairs), "class", spec)
     prefixes = classes.select("class", "n", "matches", "listed")
     prefixes = materialise(prefixes.mapInArrow(lambda batches: (b.filter(wanted(b.column("class"))) for b in batches), prefixes.schema), "prefixes")
@@ -294,7 +307,50 @@ def sharing_enough(pairs: DataFrame, classes: DataFrame, spec: JoinSpec) -> Data
     n, m = F.col("_x.n"), F.col("_y.n")
     asked, least = F.least("_x.matches", "_y.matches"), overlap(spec, n, m)
     head = lambda c, size: F.slice(F.col(f"{c}.listed"), F.lit(1), (size - least + asked).cast("int"))
-    return both.where(F.size(F.array_intersect(head("_x", n), head("_y", m))) >= asked).select("x", "y")
+    out = materialise(both.where(F.size(F.array_intersect(head("_x", n), head("_y", m))) >= asked).select("x", "y"), "sharing")
+    remove(prefixes, classes.sparkSession)
+    return out
+
+
+def between_components(docs: DataFrame, shared: DataFrame, hubs: DataFrame, label: DataFrame, stars: DataFrame, classes: DataFrame, counts, spec: JoinSpec) -> DataFrame:
+    """Links (x, y) between classes that meet in a list and that the stars have left in different components.
+
+    Of lists longer than ``small_list`` as many links come as join what can be joined, not all.
+    """
+    spark = docs.sparkSession
+    labelled = shared.drop("common").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = materialise(labelled, "labelled")
+    lists = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), group_key())
+    mixed = materialise(lists.where("low <> high").select("shingle", "m", "g"), "mixed")
+    few, hot = mixed.where(F.col("m") <= spec.small_list), mixed.where(F.col("m") > spec.small_list)
+
+    hot_entries = labelled.join(hot, "shingle").select("g", "m", "class", "n", "component")
+    sets = lambda wanted: whole_sets(docs, materialise(wanted.join(classes.select("class", "first_id"), "class"), "wanted"), spec, counts)
+    found = hot_pairs(hot_entries, sets, spec) if not hot.isEmpty() else None
+
+    few_entries = materialise(labelled.join(few, "shingle").select("shingle", "class", "n", "pos", "component"), "few")
+    remove(labelled, spark)
+    centre = hubs.select("shingle", F.col("hub.class").alias("node")).join(few.select("shingle"), "shingle", "left_semi").join(label, "node", "left")
+    centre = materialise(centre.select("shingle", F.coalesce("component", "node").alias("centre")), "centre")
+    # every such pair has a side outside the hub's component; if both are, each pair is taken once
+    side = lambda c: F.struct("class", "n", "pos", "component").alias(c)
+    outside = few_entries.join(centre, "shingle").where(F.col("component") != F.col("centre")).select("shingle", "centre", side("x"))
+    met = outside.join(few_entries.select("shingle", side("y")), "shingle").where(
+        (F.col("x.component") != F.col("y.component"))
+        & ((F.col("y.component") == F.col("centre")) | (F.col("x.class") < F.col("y.class")))
+        & may_link(spec, "x", "y")
+    )
+    pairs = materialise(met.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct(), "met")
+    for step in (few_entries, centre, mixed):
+        remove(step, spark)
+    known = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    enough = sharing_enough(pairs, classes, spec)
+    if found is not None:
+        enough = enough.unionByName(found.where("NOT link").select("x", "y")).distinct()
+    wanted = materialise(enough.join(known, ["x", "y"], "left_anti"), "pairs")
+    out = compared(docs, wanted, classes, spec) if not wanted.isEmpty() else wanted
+    remove(pairs, spark)
+    return out if found is None else out.unionByName(found.where("link").select("x", "y"))
 
 
 def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,53 +382,29 @@ def row_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str
     entries = classes.select("class", "n", "common", F.posexplode(F.slice("listed", F.lit(1), shortest)).alias("pos", "shingle"))
     # most shingles occur once; only their hashes travel to find that out. Aggregates are materialised
     # before they are joined, so that Spark can split the list of a shingle that very many classes share
-    repeated = entries.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1").select("shingle")
-    shared = materialise(entries.join(materialise(repeated, "repeated"), "shingle", "left_semi"), "entries")
-    hubs = shared.groupBy("shingle").agg(F.max(F.struct("common", "class", "n", "pos")).alias("hub"))
-    shared = materialise(shared.drop("common").join(materialise(hubs, "hubs"), "shingle"), "lists")
-    release(spark)
+    repeated = materialise(entries.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1").select("shingle"), "repeated")
+    shared = materialise(entries.join(repeated, "shingle", "left_semi"), "entries")
+    remove(repeated, spark)
+    hubs = materialise(shared.groupBy("shingle").agg(F.max(F.struct("common", "class", "n", "pos")).alias("hub")), "hubs")
 
     x = F.struct("class", "n", "pos").alias("x")
-    stars = shared.select(x, F.col("hub").alias("y")).where((F.col("x.class") != F.col("y.class")) & may_link(spec, "x", "y"))
-    stars = stars.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct()
-    stars = materialise(sharing_enough(stars, classes, spec), "stars")
-    links = compared(docs, stars, classes, spec)
+    stars = shared.join(hubs, "shingle").select(x, F.col("hub").alias("y")).where((F.col("x.class") != F.col("y.class")) & may_link(spec, "x", "y"))
+    stars = materialise(stars.select(F.col("x.class").alias("x"), F.col("y.class").alias("y")).distinct(), "met")
+    near = sharing_enough(stars, classes, spec)
+    remove(stars, spark)
+    links = compared(docs, near, classes, spec)
 
-    # pairs in a list that the stars have left in different components
     label = connected_components(links, "x", "y")
-    labelled = shared.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    labelled = held = materialise(labelled, "labelled")
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    labelled = labelled.join(materialise(mixed, "mixed"), "shingle", "left_semi")
-    y = labelled.select("shingle", F.struct("class", "n", "pos", "component").alias("y"))
-    hub_at = label.select(F.col("node").alias("hub_class"), F.col("component").alias("hub_component"))
-    left = (
-        labelled.withColumn("hub_class", F.col("hub.class"))
-        .join(hub_at, "hub_class", "left")
-        .where(F.col("component") != F.coalesce("hub_component", "hub_class"))
-        .select("shingle", F.struct("class", "n", "pos", "component").alias("x"), F.coalesce("hub_component", "hub_class").alias("centre"))
-    )
-    # every such pair has a side outside the hub's component; if both are, each pair is taken once
-    met = materialise(left, "outside").join(materialise(y, "inside"), "shingle").where(
-        (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("centre")) | (F.col("x.class") < F.col("y.class")))
-        & may_link(spec, "x", "y")
-    )
-    pairs = met.select(F.least("x.class", "y.class").alias("x"), F.greatest("x.class", "y.class").alias("y")).distinct()
-    pairs = sharing_enough(pairs, classes, spec).join(stars, ["x", "y"], "left_anti")
-    pairs = materialise(pairs, "pairs")
-    for step in (shared, held):
+    more = between_components(docs, shared, hubs, label, near, classes, counts, spec)
+    for step in (shared, hubs, near):
         remove(step, spark)
-    release(spark)
-    if pairs.isEmpty():
-        final = label
-    else:
-        final = connected_components(links.unionByName(compared(docs, pairs, classes, spec)), "x", "y")
+    final = label if more.isEmpty() else connected_components(label.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more), "x", "y")
     final = final.withColumnRenamed("node", "class")
 
     # components are named by classes so far; name them by the smallest id
-    named = classes.select("class", "first_id").join(final, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = materialise(classes.select("class", "first_id").join(final, "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
+    remove(classes, spark)
+    least = materialise(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
     named = named.join(least, "component").select("class", "component", "component_id")
     has_words = F.col("n") > 0
     return members.join(named, "class", "left").select(
