@@ -3,14 +3,22 @@
 Vectors become integers, floor(scale * x). With M the largest squared length, x' = (x, sqrt(M - x.x))
 all have the same length, so for q' = (q, 0) the order by inner product is the order by distance:
 |q' - x'|^2 = q.q + M - 2 q.x. The index keys each vector by its nearest pivot and its distance from
-it, and cuts every pivot's vectors, sorted by distance, into annuli of bounded numbers of rows. For a
-query at distance d from the pivot, no vector of the annulus [lo, hi] is nearer than
-max(d - hi, lo - d), which bounds its score from above.
-
-Queries are handled in blocks of bounded size, which are broadcast. A first pass scores the annulus
-nearest to each query and so finds a score that its k best reach; a second one goes through the sorted
-annuli, leaves out those whose bound is below that score, and keeps the k best of each query as it
-goes. Annuli with very many equal distances are split at random, so copies of one vector spread.
+it, and cuts every pivot's vectors, sorted by distance, into groups of annuli. For a query at distance d
+from the pivot, no vector at distances [lo, hi] is nearer than max(d - hi, lo - d), which bounds its
+score from above.
+
+A first pass searches the group nearest to each query and so finds a score that its k best reach. The
+second one gives each query the groups whose bound isn't below that score. Queries go in blocks of those
+with neighbouring first groups, and a block and a group that any of its queries needs are one unit of
+work, brought together by one join for all blocks. In a unit each query takes annuli outward from its
+own distance, nearest first, and stops at the first whose bound is below its k-th score so far; the
+bounds only fall outward. Groups of very many equal distances are split at random, so copies of one
+vector spread.
+
+The work saved depends on the data: where distances from pivots tell vectors apart (few dimensions,
+clusters) most annuli stay unread; where they don't (64 independent dimensions) the search is a product
+of all queries and rows in blocks, with an index beside it. ``search_counted`` gives the number of scored
+pairs.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows
 with a null id; shorter vectors are filled with zeros; a query never meets rows of its own id; rows
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._common import materialise
+from weft.llm._common import bounded_batches, hash_sample, materialise, remove
 
 
 @dataclass(frozen=True)
@@ -37,11 +45,12 @@ class TopKSpec:
     scale: int = 64
     every: int = 20
     pivots: int = 32
-    #: Rows that the pivots are taken from, rows of an annulus, and queries of a block.
+    #: Rows that the pivots are taken from, rows of an annulus, rows of a group, and queries of a block.
     sample_rows: int = 4096
     annulus_rows: int = 512
-    block_queries: int = 8192
-    #: Steps of the histogram of distances from which the annuli are cut.
+    group_rows: int = 1 << 15
+    block_queries: int = 1 << 15
+    #: Steps of the histogram of distances from which the groups are cut.
     steps: int = 1024
 
 
@@ -102,6 +111,9 @@ def products(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
     return np.clip(big, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
+LOWEST = -(1 << 63)
+
+
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best rows."""
     order = np.lexsort((vec, -score, query))
@@ -112,51 +124,155 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.nd
 
 
 @dataclass
-class Block:
-    """A block of queries: ids, vectors, distances from the pivots, annulus to begin with, and scores that the k best reach."""
+class Groups:
+    """The index's groups: pivot, least and greatest distance, rows. Of groups with equal pivot and distances each row is in one."""
+
+    pivot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+
+    def gaps(self, away: np.ndarray) -> np.ndarray:
+        """(queries, groups): how much nearer than any vector of a group a query can be to it, from its distances to the pivots."""
+        own = away[:, self.pivot]
+        return np.maximum(np.maximum(own - self.high, self.low - own), 0)
+
+
+def cut_groups(hist: list[tuple[int, int, int]], step: float, most_rows: int) -> tuple[Groups, list[tuple[int, int, int, int, int]]]:
+    """Groups of neighbouring steps, and (pivot, first step, last step, first group, parts) of each run of steps; a larger step is split in parts."""
+    runs: list[list[int]] = []
+    for pivot, s, n in hist:
+        if runs and runs[-1][0] == pivot and runs[-1][3] + n <= most_rows:
+            runs[-1][2:] = [s, runs[-1][3] + n]
+        else:
+            runs.append([pivot, s, s, n])
+    parts = [-(-n // most_rows) for *_, n in runs]
+    first = (np.cumsum(parts) - parts).tolist()
+    every = [(p, a * step, (b + 1) * step, n / c) for (p, a, b, n), c in zip(runs, parts) for _ in range(c)]
+    pivot, low, high, rows = (np.array(x) for x in zip(*every))
+    return Groups(pivot, low, high, rows), [(p, a, b, g, c) for (p, a, b, _), g, c in zip(runs, first, parts)]
+
+
+def upper_bound(length: np.ndarray, gap: np.ndarray, most: float) -> np.ndarray:
+    """What no score of a vector behind the gap exceeds, with room for rounding; ``length`` is the query's squared length."""
+    return (length + most - gap * gap) / 2 + 1e-6 * (length + most + 1)
+
+
+@dataclass
+class Unit:
+    """A block's queries (ids, keys of rows, vectors, distances from the group's pivot, scores that their k best reach) and a group's rows, by distance."""
 
-    ids: np.ndarray
+    query: np.ndarray
+    key: np.ndarray
     x: np.ndarray
-    length: np.ndarray
-    away: np.ndarray
-    home: np.ndarray
+    d: np.ndarray
     reach: np.ndarray
+    vec: np.ndarray
+    y: np.ndarray
+    away: np.ndarray
 
+    def search(self, k: int, annulus: int, most: float, exact: bool, nearest_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Places of queries and rows with their scores, the scores that each query's k best reach, and the number of scored pairs.
+
+        Each query takes annuli outward from its distance; with ``nearest_only`` it stops once k rows are met.
+        """
+        starts = np.arange(0, len(self.vec), annulus)
+        low, high = self.away[starts], self.away[np.minimum(starts + annulus, len(self.vec)) - 1]
+        gap = np.maximum(np.maximum(self.d[:, None] - high, low - self.d[:, None]), 0)
+        outward = np.argsort(gap, 1, kind="stable")
+        length = (self.x * self.x).sum(1)
+        # scores that aren't reached yet are the lowest
+        top = np.full((len(self.query), k), LOWEST, np.int64)
+        reach, met = self.reach.copy(), np.zeros(len(self.query), np.int64)
+        found, scored, alive = [], 0, np.arange(len(self.query))
+        for turn in range(len(starts)):
+            at = outward[alive, turn]
+            on = upper_bound(length[alive], gap[alive, at], most) >= reach[alive]
+            if nearest_only:
+                on &= met[alive] < k
+            alive, at = alive[on], at[on]
+            if not len(alive):
+                break
+            order = np.argsort(at, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                for s in range(0, len(part), 1024):
+                    some, a = alive[part[s : s + 1024]], starts[at[part[s]]]
+                    ids = self.vec[a : a + annulus]
+                    score = products(self.x[some], self.y[a : a + annulus], exact)
+                    own = self.query[some][:, None] == ids
+                    score[own] = LOWEST
+                    scored += score.size
+                    met[some] += (~own).sum(1)
+                    both = np.concatenate([top[some], score], 1)
+                    top[some] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
+                    reach[some] = np.maximum(reach[some], top[some].min(1))
+                    i, j = np.nonzero((score >= reach[some][:, None]) & ~own)
+                    found.append((some[i], a + j, score[i, j]))
+        if not found:
+            return *[np.empty(0, np.int64)] * 3, reach, scored
+        query, row, score = (np.concatenate(c) for c in zip(*found))
+        kept = score >= reach[query]
+        query, row, score = query[kept], row[kept], score[kept]
+        keep = best(query, self.vec[row], score, k)
+        return query[keep], row[keep], score[keep], reach, scored
+
+
+def units_of(batches, width: int):
+    """Units from rows sorted by (block, g, kind, d), where kind 0 are queries."""
+    key, held = None, []
+
+    def unit():
+        rows = pa.Table.from_batches(held).combine_chunks()
+        n = int((rows.column("kind").to_numpy() == 0).sum())
+        x = matrix(rows.column("x").combine_chunks() if isinstance(rows.column("x"), pa.ChunkedArray) else rows.column("x"), width)
+        ids, row, d, reach = (rows.column(c).to_numpy() for c in ("id", "row", "d", "reach"))
+        return Unit(ids[:n], row[:n], x[:n], d[:n], reach[:n], ids[n:], x[n:], d[n:])
 
-def annuli_of(batches, width: int):
-    """(pivot, cell, ids, vectors, distances) of runs of one cell, of bounded size, from rows sorted by cell."""
     for batch in batches:
-        cell = batch.column("cell").to_numpy()
-        edge = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
-        x = matrix(batch.column("x"), width)
-        ids, pivot, away = (batch.column(c).to_numpy() for c in ("vec_id", "pivot", "away"))
+        keys = np.stack([batch.column(c).to_numpy() for c in ("block", "g")], 1)
+        edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for a, b in zip(edge, edge[1:]):
-            for s in range(a, b, 1024):
-                e = min(b, s + 1024)
-                yield int(pivot[s]), int(cell[s]), ids[s:e], x[s:e], away[s:e]
+            if a == b:
+                continue
+            if held and tuple(keys[a]) != key:
+                yield unit()
+                held = []
+            key = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield unit()
+
+
+def together(queries: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(block, g, id, row, x, d, reach) queries and the rows of their groups, unit by unit."""
+    units = queries.select("block", "g").distinct()
+    rows = indexed.join(units, "g").select("block", "g", F.lit(1).alias("kind"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("row"), "x", F.col("away").alias("d"), F.lit(LOWEST).alias("reach"))
+    asked = queries.select("block", "g", F.lit(0).alias("kind"), "id", "row", "x", "d", "reach")
+    return asked.unionByName(rows).repartition("block", "g").sortWithinPartitions("block", "g", "kind", "d")
 
 
-def upper_bound(block: Block, some, pivot: int, low: float, high: float, most: float) -> np.ndarray:
-    """What no score of a vector in the annulus exceeds, with room for rounding."""
-    d = block.away[some, pivot]
-    gap = np.maximum(np.maximum(d - high, low - d), 0)
-    slack = 1e-6 * (block.length[some] + most + 1)
-    return (block.length[some] + most - gap * gap) / 2 + slack
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, spec: TopKSpec = TopKSpec(), *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k best other rows."""
+    return search_counted(vectors, spec, id_col=id_col, vector_col=vector_col)[0]
+
+
+def search_counted(vectors: DataFrame, spec: TopKSpec = TopKSpec(), *, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, object]:
+    """``top_k`` with an accumulator that holds the number of scored pairs once the result has been computed (retried tasks count again)."""
     spark, k = vectors.sparkSession, spec.k
-    schema = "query_id long, rank int, vec_id long, score long"
+    bounded_batches(spark)
+    scored = spark.sparkContext.accumulator(0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(vector_col, spec.scale).alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL")
     square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     facts = rows.agg(F.count("*"), F.max(F.size("x")), F.max(square), F.count_if(F.col("vec_id") % spec.every == 0)).first()
     total, width, most, asked = facts[0], facts[1] or 0, facts[2] or 0.0, facts[3]
     if not total or not asked:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], RESULT), scored
     exact = most < (1 << 52)
 
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(spec.sample_rows).select("x").toArrow().column("x").combine_chunks()
+    sample = hash_sample(rows, spec.sample_rows, "vec_id").select("x").toArrow().column("x").combine_chunks()
     centre = choose_pivots(lifted(matrix(sample, width), most), spec.pivots)
 
     @F.arrow_udf("struct<pivot: int, away: double>")
@@ -165,102 +281,70 @@ def top_k(vectors: DataFrame, spec: TopKSpec = TopKSpec(), *, id_col: str = "vec
         at = d.argmin(1)
         return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], ["pivot", "away"])
 
-    keyed = materialise(rows.withColumn("at", nearest("x")).select("vec_id", "x", "at.*"), "keyed")
+    keyed = rows.withColumn("at", nearest("x")).select("vec_id", "x", "at.*", F.monotonically_increasing_id().alias("row"))
+    keyed = materialise(keyed, "keyed")
     step = 2 * np.sqrt(most) / spec.steps or 1.0
     stepped = keyed.withColumn("step", F.floor(F.col("away") / step).cast("int"))
     hist = sorted(tuple(r) for r in stepped.groupBy("pivot", "step").agg(F.count("*")).collect())  # at most pivots x steps
-    #: (pivot, first step, last step, rows) of each annulus
-    cells: list[list[int]] = []
-    for pivot, s, n in hist:
-        if cells and cells[-1][0] == pivot and cells[-1][3] + n <= spec.annulus_rows:
-            cells[-1][2:] = [s, cells[-1][3] + n]
-        else:
-            cells.append([pivot, s, s, n])
-    bounds = spark.createDataFrame([(c, p, a, b, -(-n // spec.annulus_rows)) for c, (p, a, b, n) in enumerate(cells)], "cell int, p int, a int, b int, parts int")
-    # one row for each annulus, at most pivots x steps
-    indexed = (
-        stepped.join(F.broadcast(bounds), (F.col("pivot") == F.col("p")) & F.col("step").between(F.col("a"), F.col("b")))
-        .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "part")
-        .sortWithinPartitions("cell", "away")
-        .select("cell", "pivot", "away", "vec_id", "x")
+    groups, runs = cut_groups(hist, step, spec.group_rows)
+    bounds = spark.createDataFrame(runs, "p int, a int, b int, first int, parts int")  # no more rows than the histogram
+    indexed = stepped.join(F.broadcast(bounds), (F.col("pivot") == F.col("p")) & F.col("step").between(F.col("a"), F.col("b"))).select(
+        (F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int").alias("g"), "vec_id", "away", "x"
     )
-    indexed = materialise(indexed, "annuli")
-    low = {c: a * step for c, (_, a, _, _) in enumerate(cells)}
-    high = {c: (b + 1) * step for c, (_, _, b, _) in enumerate(cells)}
-    of_pivot: dict[int, list[int]] = {}
-    for c, (p, *_rest) in enumerate(cells):
-        of_pivot.setdefault(p, []).append(c)
-
-    found = None
-    blocks = -(-asked // spec.block_queries)
-    queries = keyed.where(F.col("vec_id") % spec.every == 0)
-    for number in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number) if blocks > 1 else queries
-        got = own.select("vec_id", "x").toArrow().sort_by("vec_id")
-        if not len(got):
-            continue
-        x = matrix(got.column("x").combine_chunks(), width)
-        q = np.concatenate([x, np.zeros((len(x), 1))], 1)
-        away = distances(q, centre)
-        home = np.empty(len(x), np.int64)
-        for i, d in enumerate(away):  # the annulus of enough rows that a near vector is likeliest in
-            home[i] = min((max(d[cells[c][0]] - high[c], low[c] - d[cells[c][0]], 0.0), -cells[c][3], c) for p in np.argsort(d)[:4] if p in of_pivot for c in of_pivot[p])[2]
-        block = Block(got.column("vec_id").to_numpy(), x, (x * x).sum(1), away, home, np.full(len(x), -(1 << 63), np.int64))
-        sent = spark.sparkContext.broadcast(block)
-
-        def first_scores(batches, sent=sent):
-            """The k-th best score of each query inside its first annulus, or inside a part of it."""
-            block = sent.value
-            for _, cell, ids, x, _ in annuli_of(batches, width):
-                own = np.flatnonzero(block.home == cell)
-                for s in range(0, len(own), 1024):
-                    some = own[s : s + 1024]
-                    score = products(block.x[some], x, exact)
-                    score[block.ids[some][:, None] == ids] = -(1 << 63)
-                    if score.shape[1] >= k:
-                        kth = np.partition(score, score.shape[1] - k, 1)[:, score.shape[1] - k]
-                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(kth)], ["query", "reach"])
-
-        reached = indexed.mapInArrow(first_scores, "query long, reach long").groupBy("query").agg(F.max("reach").alias("reach")).toArrow()
-        block.reach[reached.column("query").to_numpy()] = reached.column("reach").to_numpy()
-        ready = spark.sparkContext.broadcast(block)
-
-        def search(batches, ready=ready):
-            block = ready.value
-            reach = block.reach.copy()
-            held = [np.empty(0, np.int64)] * 3
-            for pivot, cell, ids, x, away in annuli_of(batches, width):
-                alive = np.flatnonzero(upper_bound(block, slice(None), pivot, float(away.min()), float(away.max()), most) >= reach)
-                for s in range(0, len(alive), 1024):
-                    some = alive[s : s + 1024]
-                    score = products(block.x[some], x, exact)
-                    fits = (score >= reach[some][:, None]) & (block.ids[some][:, None] != ids)
-                    a, b = np.nonzero(fits)
-                    held = [np.concatenate(p) for p in zip(held, (some[a], ids[b], score[a, b]))]
-                    if len(held[0]) > 400_000:
-                        keep = best(*held, k)
-                        held = [h[keep] for h in held]
-                        reach = raised(reach, held, k)
-            keep = best(*held, k)
-            out = [h[keep] for h in held]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(block.ids[out[0]]), pa.array(out[1]), pa.array(out[2])], ["query", "query_id", "vec_id", "score"])
-
-        part = indexed.mapInArrow(search, "query long, query_id long, vec_id long, score long")
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-        part = part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        if blocks > 1:
-            part = materialise(part, "top")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def raised(reach: np.ndarray, held: list[np.ndarray], k: int) -> np.ndarray:
-    """Scores that each query's k best reach, from its k best so far, which are sorted by query and score."""
-    query, _, score = held
-    count = np.bincount(query, minlength=len(reach))
-    full = np.flatnonzero(count >= k)
-    last = np.cumsum(count)[full] - 1
-    out = reach.copy()
-    out[full] = np.maximum(out[full], score[last])
-    return out
+
+    sent = spark.sparkContext.broadcast((groups, centre))
+
+    def of_queries(x: pa.Array, chosen):
+        """A list of (group, distance) for each query, from its vector, its gaps to all groups and its place."""
+        groups, centre = sent.value
+        q = matrix(x, width)
+        away, length, out = distances(np.concatenate([q, np.zeros((len(q), 1))], 1), centre), (q * q).sum(1), []
+        for s in range(0, len(q), 64):
+            gap = groups.gaps(away[s : s + 64])
+            for i in range(len(gap)):
+                g = chosen(groups, s + i, gap[i], length[s + i])
+                out.append((g, away[s + i, groups.pivot[g]]))
+        sizes = [len(g) for g, _ in out]
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([c[i] for c in out]) if out else np.empty(0), t) for i, t in enumerate((pa.int32(), pa.float64()))], ["g", "d"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pairs)
+
+    @F.arrow_udf("array<struct<g: int, d: double>>")
+    def first_group(x: pa.Array) -> pa.Array:
+        """The nearest group, of equals that with most rows; with rows enough where there is one."""
+        return of_queries(x, lambda groups, i, gap, length: np.array([np.lexsort((-groups.rows, gap, groups.rows <= min(k, groups.rows.max() - 1)))[0]]))
+
+    @F.arrow_udf("array<struct<g: int, d: double>>")
+    def open_groups(x: pa.Array, reach: pa.Array) -> pa.Array:
+        least = reach.to_numpy()
+        return of_queries(x, lambda groups, i, gap, length: np.flatnonzero(upper_bound(length, gap, most) >= least[i]))
+
+    queries = keyed.where(F.col("vec_id") % spec.every == 0).select(F.col("vec_id").alias("id"), "x", "row", F.inline(first_group("x")))
+    queries = materialise(queries, "queries")
+    homes = sorted(tuple(r) for r in queries.groupBy("g").agg(F.count("*")).collect())  # no more than groups
+    before = np.cumsum([0, *[n for _, n in homes]]).tolist()
+    places = spark.createDataFrame([(g, n, b) for (g, n), b in zip(homes, before)], "g int, n long, before long")
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("row"), F.col("n"))) / spec.block_queries).cast("int").alias("block")
+    blocked = queries.join(F.broadcast(places), "g").select("id", "x", "row", block, "g", "d", F.lit(LOWEST).alias("reach"))
+
+    def first_scores(batches):
+        for unit in units_of(batches, width):
+            *_, reach, pairs = unit.search(k, spec.annulus_rows, most, exact, nearest_only=True)
+            scored.add(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(unit.key), pa.array(reach)], ["row", "reach"])
+
+    reached = materialise(together(blocked, indexed).mapInArrow(first_scores, "row long, reach long"), "reached")
+    following = blocked.drop("g", "d", "reach").join(reached, "row").withColumn("open", open_groups("x", "reach"))
+    following = materialise(following.select("id", "x", "row", "block", "reach", F.inline("open")), "asked")
+
+    def search(batches):
+        for unit in units_of(batches, width):
+            query, row, score, _, pairs = unit.search(k, spec.annulus_rows, most, exact)
+            scored.add(pairs)
+            columns = unit.key[query], unit.query[query], unit.vec[row], score
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "query_id", "vec_id", "score"])
+
+    found = materialise(together(following, indexed).mapInArrow(search, "row long, query_id long, vec_id long, score long"), "found")
+    for made in (keyed, queries, reached, following):
+        remove(made, spark)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), scored
