@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm import fingerprints, ngram_join, packing, quality, sentencepiece_table, token_counts, topk, toxicity, url_filter, warc_zip
 from weft.llm._common import table
@@ -36,6 +37,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that rules decide."""
+    return url_filter.by_rules(table(spark, sf_dir, "pages"), RULES).select(F.col("_id").alias("page_id"), "host", "path", "rule", F.col("ruled").alias("verdict"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_token_counts, op3_sentencepiece, op4_url_filter, op5_quality, op6_top_k, op7_toxicity, op8_ngram_join, op9_fingerprints, op10_packing,
+        url_rules,
     )
 }
 #: Sets of distinct 3-word shingles as in op8, for SQL.
@@ -78,7 +85,16 @@ listed AS (
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT) >> {s}) & 31 AS INTEGER) + 1, 1)" for k in range(8) for s in (15, 10, 5, 0)
 )
+_RULES = ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
 ORACLE_SQL: dict[str, str] = {
+    "url_rules": f"""
+WITH u AS (SELECT row_number() OVER () AS i, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT i, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (
+  SELECT p.i, name, verdict, row_number() OVER (PARTITION BY p.i ORDER BY length(name) DESC, name DESC) AS n
+  FROM p JOIN (VALUES {_RULES}) v(name, h, start, verdict) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start)
+)
+SELECT page_id, host, path, name AS rule, verdict FROM p LEFT JOIN f ON f.i = p.i AND n = 1""",
     "op1_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
