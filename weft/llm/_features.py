@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import bounded_batches, text_of
+from weft.llm._common import bounded_batches, hash_sample, kept_by_worker, text_of
 
 BITS = 20
 SIZE = 1 << BITS
@@ -38,7 +38,7 @@ class Words:
         text = raw.decode()
         plain = re.sub(r"^\W+|\W+$", "", text).lower()
         self.word[self.used] = xxhash.xxh3_64_intdigest(plain)
-        self.shape[self.used] = xxhash.xxh3_64_intdigest(shape(text[:200]), 1)
+        self.shape[self.used] = xxhash.xxh3_64_intdigest(shape(text), 1)
         self.used += 1
         return self.used - 1
 
@@ -143,15 +143,9 @@ class Beginnings:
         return np.unique((mixed >> np.uint64(64 - BITS)).astype(np.int64))
 
 
-_indicators: dict[str, Indicators | Beginnings] = {}
-
-
 def indicators(kind: str) -> Indicators | Beginnings:
-    """``n-grams`` or ``beginnings``; a Python worker keeps the last kind only."""
-    if kind not in _indicators:
-        _indicators.clear()
-        _indicators[kind] = {"n-grams": Indicators, "beginnings": Beginnings}[kind]()
-    return _indicators[kind]
+    """``n-grams`` or ``beginnings``."""
+    return kept_by_worker(kind, {"n-grams": Indicators, "beginnings": Beginnings}[kind])
 
 
 def in_fold(id_col: str, fold: int, folds: int = 3) -> Column:
@@ -164,13 +158,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, most: int
     A row labelled more than once has its smallest label; rows without id or label take no part.
     """
     bounded_batches(docs.sparkSession)
-    chosen = (
-        labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~in_fold(id_col, held_out))
-        .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.min(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(most)
-    )
+    labelled = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~in_fold(id_col, held_out))
+    chosen = hash_sample(labelled.groupBy(F.col(id_col).alias("_id")).agg(F.min(label).cast("int").alias("_label")), most, "_id")
 
     @F.arrow_udf("array<int>")
     def found(text: pa.Array) -> pa.Array:

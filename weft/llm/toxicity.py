@@ -1,19 +1,28 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 Grades 0..3 are ordered; one weight vector over hashed words and beginnings of words, at three levels
-of how often they come, is shared by all thresholds: P(grade > k) = logistic(w.x - t_k), t_0 < t_1 < t_2. The expected severity is the sum
-of the three probabilities. Labels only say toxic or not, so the grades above 0 of labelled toxic
-rows come from how densely they use markers, indicators far more frequent in toxic than in other
-labelled rows: thirds of the density are grades 1, 2, 3. A row is judged toxic if the probability of grade 1 or more
-reaches ``LEAST_PROBABILITY``.
+of how often they come, is shared by all thresholds: P(grade > k) = logistic(w.x - t_k), t_0 < t_1 < t_2.
+The expected severity is the sum of the three probabilities.
+
+Labels only say toxic or not, so the grades above 0 of labelled toxic rows come from how densely they
+use markers, indicators far more frequent in toxic than in other labelled rows: thirds of the density
+are grades 1, 2, 3. The grades are thus made from the features that then predict them; which rows are
+toxic is tested on held-out labels, but no data here say how severe a row is, so severity isn't validated.
+
+A row is judged toxic if its probability of grade 1 or more reaches the model's limit; then its grade is
+the likeliest of 1 to 3, else 0. The limit is the lowest at which at most ``MOST_FALSE`` of the sample's
+clean rows would be judged toxic by models that haven't seen them (``FOLDS`` parts), within ``LIMITS``.
 
 The sample is bounded and chosen by a hash of the id; indicators are screened by the root of their
 likelihood ratio, in itself and against the strongest one's, before fitting, so that chance words have
 no weight.
 
-Defined cases: null and empty texts have no indicators and the severity of the thresholds alone;
-without labelled rows, or with one class only, the severity is the smoothed share of toxic rows;
-null ids are never learnt from; repeated rows each get a row; extra columns are ignored.
+Defined cases: null and empty texts have no indicators and the severity of the thresholds alone; very
+long texts are taken whole; without labelled rows, or with one class only, the severity is that of the
+smoothed share of toxic rows and the limit one half; a probability at the limit is toxic, and of equally
+likely grades the smaller is taken; an id labelled more than once has its smallest label; null ids are
+never learnt from; repeated rows each get a row; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +38,8 @@ from weft.llm._common import bounded_batches, text_of
 from weft.llm._features import SIZE, indicators, labelled_sample
 
 GRADES = 3
-#: A row is judged toxic from this probability of grade 1 or more; a missed toxic row costs more than a look at a clean one.
-LEAST_PROBABILITY = 0.1
+#: Share of clean rows that may be judged toxic, parts of the sample, and bounds of the limit. A missed toxic row costs more than a look at a clean one.
+MOST_FALSE, FOLDS, LIMITS = 0.005, 4, (0.05, 0.5)
 
 
 @dataclass
@@ -38,6 +47,7 @@ class SeverityModel:
     feature: np.ndarray  # sorted
     weight: np.ndarray
     thresholds: np.ndarray
+    limit: float = 0.5
 
     def probabilities(self, ids: np.ndarray) -> np.ndarray:
         """P(grade > k) for k = 0, 1, 2."""
@@ -67,11 +77,51 @@ def grades(index: np.ndarray, row: np.ndarray, toxic: np.ndarray, z: np.ndarray,
     return np.where(toxic, 1 + np.searchsorted(cuts, density, "left"), 0)
 
 
-def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: float = 5.0, least_share: float = 0.3, least_rows: int = 4, most_features: int = 4096, steps: int = 600, ridge: float = 1.0) -> SeverityModel:
+def loss_and_gradient(theta: np.ndarray, r: np.ndarray, f: np.ndarray, grade: np.ndarray, features: int, ridge: float) -> tuple[float, np.ndarray]:
+    """The penalised negative log-likelihood and its gradient at (weights, first threshold, logs of the gaps)."""
+    n, w, free = len(grade), theta[:features], theta[features:]
+    gaps = np.exp(free[1:])
+    t = free[0] + np.concatenate([[0.0], np.cumsum(gaps)])
+    u = np.bincount(r, w[f], n)
+    s = 1 / (1 + np.exp(-np.clip(u[:, None] - t, -30, 30)))  # P(grade > k)
+    at = np.arange(n), grade
+    low = np.concatenate([np.ones((n, 1)), s], 1)[at]
+    high = np.concatenate([s, np.zeros((n, 1))], 1)[at]
+    p = np.maximum(low - high, 1e-9)
+    slope = s * (1 - s)
+    dl = np.concatenate([np.zeros((n, 1)), slope], 1)[at] / p
+    dh = np.concatenate([slope, np.zeros((n, 1))], 1)[at] / p
+    gt = np.array([dl[grade == k + 1].sum() - dh[grade == k].sum() for k in range(GRADES)])
+    gw = np.bincount(f, (dh - dl)[r], features) + ridge * w
+    gf = np.concatenate([[gt.sum()], [gaps[k] * gt[k + 1 :].sum() for k in range(GRADES - 1)]])
+    return float(-np.log(p).sum() + ridge / 2 * (w @ w)), np.concatenate([gw, gf])
+
+
+def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, **options) -> SeverityModel:
+    """The model of all rows, with a limit from models that haven't seen the rows that they judge."""
+    n, toxic = len(label), label == 1
+    model = fit_grades(indptr, index, label, **options)
+    if n < 10 * FOLDS or toxic.sum() < FOLDS or (~toxic).sum() < FOLDS:
+        return model
+    sizes = np.diff(indptr)
+    row = np.repeat(np.arange(n), sizes)
+    chance = np.empty(n)
+    for part in range(FOLDS):
+        mine = np.arange(n) % FOLDS == part
+        rest = fit_grades(np.concatenate([[0], np.cumsum(sizes[~mine])]), index[~mine[row]], label[~mine], **options)
+        for i in np.flatnonzero(mine):
+            chance[i] = rest.probabilities(index[indptr[i] : indptr[i + 1]])[0]
+    clean = np.sort(chance[~toxic])[::-1]
+    highest = clean[min(int(MOST_FALSE * len(clean)), len(clean) - 1)]  # may not be reached
+    model.limit = float(np.clip(np.nextafter(highest, 1), *LIMITS))
+    return model
+
+
+def fit_grades(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: float = 5.0, least_share: float = 0.3, least_rows: int = 4, most_features: int = 4096, steps: int = 600, ridge: float = 1.0) -> SeverityModel:
     n, toxic = len(label), label == 1
     if n == 0 or toxic.all() or not toxic.any():
         share = (toxic.sum() + 1) / (n + 2)
-        return SeverityModel(np.empty(0, np.int64), np.empty(0), np.full(GRADES, np.log((1 - share) / share)))
+        return SeverityModel(np.empty(0, np.int64), np.empty(0), np.array([np.log((1 - share) / share), *[30.0] * (GRADES - 1)]))
     sizes = np.diff(indptr)
     row = np.repeat(np.arange(n), sizes)
     z, seen = z_scores(index, row, toxic)
@@ -91,26 +141,8 @@ def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: fl
     free = np.concatenate([[t[0]], np.log(np.maximum(np.diff(t), 1e-3))])  # gaps stay positive
     theta = np.concatenate([w, free])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    over = grade[:, None] > np.arange(GRADES)
     for step in range(1, steps + 1):
-        w, free = theta[: len(w)], theta[len(w) :]
-        gaps = np.exp(free[1:])
-        t = free[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-        u = np.bincount(r, w[f], n)
-        s = 1 / (1 + np.exp(-np.clip(u[:, None] - t, -30, 30)))  # P(grade > k)
-        low = np.concatenate([np.ones((n, 1)), s], 1)[np.arange(n), grade]
-        high = np.concatenate([s, np.zeros((n, 1))], 1)[np.arange(n), grade]
-        p = np.maximum(low - high, 1e-9)
-        slope = s * (1 - s)
-        dl = np.concatenate([np.zeros((n, 1)), slope], 1)[np.arange(n), grade] / p
-        dh = np.concatenate([slope, np.zeros((n, 1))], 1)[np.arange(n), grade] / p
-        gu = -(dl - dh)  # of the loss, by u
-        gt = np.zeros(GRADES)
-        for k in range(GRADES):
-            gt[k] = dl[grade == k + 1].sum() - dh[grade == k].sum()
-        gw = np.bincount(f, gu[r], len(w)) + ridge * w
-        gf = np.concatenate([[gt.sum()], [gaps[k] * gt[k + 1 :].sum() for k in range(GRADES - 1)]])
-        g = np.concatenate([gw, gf])
+        g = loss_and_gradient(theta, r, f, grade, len(feature), ridge)[1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         theta = theta - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     free = theta[len(w) :]
@@ -123,17 +155,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def severity(model: SeverityModel, text_col: str = "text") -> Column:
-    """struct(severity, grade, toxic) of a text column: expected severity 0 to 3, likeliest grade, and the judgement."""
-    parts = (model.feature, model.weight, model.thresholds)
+    """struct(severity, grade, toxic) of a text column: expected severity 0 to 3, the grade, and the judgement."""
+    parts = (model.feature, model.weight, model.thresholds, model.limit)
 
     @F.arrow_udf("struct<severity: double, grade: int, toxic: int>")
     def judged(text: pa.Array) -> pa.Array:
         of, small = indicators("beginnings").of, SeverityModel(*parts)
         over = [small.probabilities(of(t)) for t in text.cast(pa.binary()).to_pylist()]
         over = np.array(over).reshape(-1, GRADES)
-        each = -np.diff(np.concatenate([np.ones((len(over), 1)), over, np.zeros((len(over), 1))], 1), axis=1)
+        toxic = over[:, 0] >= small.limit
+        likeliest = 1 + (-np.diff(np.concatenate([over, np.zeros((len(over), 1))], 1), axis=1)).argmax(1)
         return pa.StructArray.from_arrays(
-            [pa.array(over.sum(1)), pa.array(each.argmax(1), pa.int32()), pa.array((over[:, 0] >= LEAST_PROBABILITY).astype(np.int32))],
+            [pa.array(over.sum(1)), pa.array(np.where(toxic, likeliest, 0), pa.int32()), pa.array(toxic.astype(np.int32))],
             ["severity", "grade", "toxic"],
         )
 
