@@ -2,20 +2,25 @@
 
 Writing puts every page into a WARC record: of pages with equal payloads the one with the smallest id
 is a response, the others are revisits that refer to it. A task writes packages of bounded size, each
-with a gzipped WARC member (a gzip member for each record) and an index member of lines
-``id offset length``, both stored without compression, so that records can be read in place.
+with a gzipped WARC member (a gzip member for each record) and a sorted CDXJ index of the records'
+offsets and lengths, both stored without compression, so that records can be read in place.
 
 Reading never extracts a package. A task opens it at its end, parses the end record, the ZIP64 locator
-and end record where they are needed, and the central directory; finds the stored WARC and index
-members through their local headers; and reads the index. The records' ranges are then dealt out, and
-neighbouring ones are read together. Digests of responses are checked against their payloads.
+and end record where they are needed, and the central directory; finds all stored archives
+(``archive/*.warc.gz``, ``*.warc``) and indexes (``indexes/*.cdx``, ``*.cdxj``, gzipped or not) through
+their local headers; and goes through the indexes' lines. An archive that no line refers to, and a line
+of an archive that isn't there, are errors. The records' ranges are then dealt out, and neighbouring ones
+are read together. Digests of responses are checked against their payloads. Packages of other writers
+may name records by other ids (page_id is null then), have several archives and indexes, CDX lines whose
+header names the fields, no lengths (a record ends where the next one begins), and names in code page 437.
 
 Files are reached through pyarrow's file systems (local and shared folders, S3, GCS, HDFS).
 
-Defined cases: null html is the empty payload; null ids sort last among equal payloads and are
-written as such; pages with one id and equal payloads are all responses if theirs is the smallest id;
-a null url is left out of the record; repeated rows each get a record; an empty table gives packages
-of no records or none, and an empty result; extra columns are ignored.
+Defined cases: null html is the empty payload; very long payloads are held whole, a few times over, in one
+task, and are records of their own package size; null ids sort last among equal payloads and are written
+as such; pages with one id and equal payloads are all responses if theirs is the smallest id; a null url
+is left out of the record; repeated rows each get a record; an empty table gives packages of no records or
+none, and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +28,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,11 +46,13 @@ from weft.llm._common import bounded_batches, fresh_path, materialise
 
 ID, DATE = "urn:x-page:", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/records.idx"
+WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Names of archives and indexes in a package.
+ARCHIVES, INDEXES = re.compile(r"archive/.*\.warc(\.gz)?"), re.compile(r"indexes/.*\.cdxj?(\.gz)?")
 #: Bytes after which a new package is begun, and bytes of neighbouring records that are read together.
 PACKAGE_BYTES, RANGE_BYTES = 1 << 28, 1 << 20
-#: Bytes of archives that a reading task gets on average.
-TASK_BYTES = 1 << 23
+#: Bytes of records that a reading task gets on average, until there are as many tasks for each core.
+TASK_BYTES, TASKS_A_CORE = 1 << 23, 64
 
 
 def base32_sha1(data: Column) -> Column:
@@ -78,31 +89,33 @@ def headers(lines: bytes) -> dict[str, str]:
     out = {}
     for line in lines.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
-        out[name.decode().lower()] = value.strip().decode()
+        out[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
     return out
 
 
 def parse(data: bytes) -> dict:
-    """A gzipped record's id, url, kind, digest, payload length and referred id; responses are checked."""
-    raw = gzip.decompress(data)
+    """A record's page, url, kind, digest, payload length and referred page; responses with a SHA-1 are checked."""
+    raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = raw.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/1."):
         raise ValueError("not a WARC record")
     h = headers(head)
     block = rest[: int(h["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind, digest = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response":
-        size = len(payload)
-        if digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
+    http, _, payload = block.partition(b"\r\n\r\n") if h.get("content-type", "").startswith("application/http") else (b"", b"", block)
+    kind, digest = h["warc-type"], h.get("warc-payload-digest")
+    name, _, value = digest.partition(":") if digest else ("", "", None)
+    if kind == "revisit":  # headers of the response that it repeats
+        payload, size = None, headers(http).get("content-length")
+        size = int(size) if size else None
+    else:
+        size, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if kind == "response" and name.lower() == "sha1" and value.upper() != own:
             raise ValueError(f"{h['warc-record-id']}: the payload doesn't have its digest")
-    else:  # headers of the response that it repeats
-        payload, size = None, int(headers(http)["content-length"])
-    number = lambda s: int(t) if (t := s.strip("<>").removeprefix(ID)) else None
-    refers = h.get("warc-refers-to")
+        value = value if name.lower() == "sha1" else own
+    page = lambda s: int(t) if s and (t := s.strip("<>")).startswith(ID) and (t := t.removeprefix(ID)) else None
     return {
-        "page_id": number(h["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind,
-        "refers_to": number(refers) if refers else None, "url": h.get("warc-target-uri"), "payload": payload,
+        "page_id": page(h["warc-record-id"]), "payload_bytes": size, "payload_digest": value, "record_type": kind,
+        "refers_to": page(h.get("warc-refers-to")), "url": h.get("warc-target-uri"), "payload": payload,
     }
 
 
@@ -126,6 +139,12 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0, *, id_col: str = "page
     )
 
 
+def sort_key(url: str | None) -> str:
+    """The key that index lines are sorted by: the host's labels from the last to the first, then the rest; without blanks."""
+    host, slash, path = re.sub(r"^[^/]*://", "", url or "").partition("/")
+    return "".join(c if " " < c != "\x7f" else f"%{ord(c):02X}" for c in f"{','.join(reversed(host.lower().split('.')))}){slash}{path}")
+
+
 class Package:
     """A ZIP package that is written in one pass."""
 
@@ -140,14 +159,15 @@ class Package:
         self.index: list[str] = []
         self.size = 0
 
-    def add(self, page_id: int | None, data: bytes) -> None:
+    def add(self, url: str | None, digest: str, data: bytes) -> None:
         self.member.write(data)
-        self.index.append(f"{'' if page_id is None else page_id} {self.size} {len(data)}\n")
+        at = {"url": url or "", "digest": f"sha1:{digest}", "offset": str(self.size), "length": str(len(data)), "filename": WARC_MEMBER.rpartition("/")[2]}
+        self.index.append(f"{sort_key(url)} {''.join(c for c in DATE if c.isdigit())} {json.dumps(at)}\n")
         self.size += len(data)
 
     def close(self) -> tuple[str, int, int]:
         self.member.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX_MEMBER), "".join(self.index))
+        self.zip.writestr(zipfile.ZipInfo(INDEX_MEMBER), "".join(sorted(self.index)))
         self.zip.close()
         self.stream.close()
         return self.path, len(self.index), self.size
@@ -161,7 +181,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for page_id, url, payload, digest, kind, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "kind", "refers_to"))):
                 package = package or Package(folder)
-                package.add(page_id, record(page_id, url, payload, digest, kind, refers_to))
+                package.add(url, digest, record(page_id, url, payload, digest, kind, refers_to))
                 if package.size > PACKAGE_BYTES:
                     done.append(package.close())
                     package = None
@@ -207,10 +227,10 @@ def directory(file, size: int) -> list[Member]:
     for _ in range(count):
         if data[p : p + 4] != b"PK\x01\x02":
             raise ValueError("a broken central directory")
-        method, = struct.unpack_from("<H", data, p + 10)
+        flags, method = struct.unpack_from("<HH", data, p + 8)
         stored, full, n, extra, note = struct.unpack_from("<IIHHH", data, p + 20)
         header, = struct.unpack_from("<I", data, p + 42)
-        name = data[p + 46 : p + 46 + n].decode()
+        name = data[p + 46 : p + 46 + n].decode("utf-8" if flags & 0x800 else "cp437", "replace")
         x, end = p + 46 + n, p + 46 + n + extra
         while x + 4 <= end:
             kind, width = struct.unpack_from("<HH", data, x)
@@ -236,16 +256,70 @@ def data_start(file, member: Member) -> int:
     return member.header + 30 + name + extra
 
 
+def lines_of(file, member: Member, piece: int = 1 << 22) -> Iterator[str]:
+    """The lines of a stored member, gunzipped where its name says so, a piece at a time."""
+    at, left, rest = data_start(file, member), member.size, b""
+    unzip = zlib.decompressobj(31) if member.name.endswith(".gz") else None
+    while left:
+        data = file.read_at(min(piece, left), at)
+        at, left = at + len(data), left - len(data)
+        if unzip:
+            parts = []
+            while data:
+                parts.append(unzip.decompress(data))
+                data = unzip.unused_data
+                if unzip.eof:  # another gzip member may follow
+                    unzip = zlib.decompressobj(31)
+            data = b"".join(parts)
+        *lines, rest = (rest + data).split(b"\n")
+        yield from (x.decode("utf-8", "replace") for x in lines)
+    if rest:
+        yield rest.decode("utf-8", "replace")
+
+
+def entries_of(lines: Iterator[str]) -> Iterator[tuple[str | None, int, int | None]]:
+    """(file name, offset, length) of the lines of a CDX or CDXJ index; names and lengths may be missing."""
+    fields: list[str] | None = None
+    for line in lines:
+        if line.strip().startswith("CDX "):
+            fields = line.split()[1:]
+        elif (brace := line.find("{")) >= 0 and fields is None:
+            entry = json.loads(line[brace:])
+            length = entry.get("length")
+            yield entry.get("filename"), int(entry["offset"]), int(length) if length not in (None, "", "-") else None
+        elif line.strip() and not line.startswith("!"):
+            if fields is None:
+                raise ValueError("an index without lines of CDXJ or a header of CDX")
+            entry = dict(zip(fields, line.split()))
+            length = entry.get("S", "-")
+            yield entry.get("g"), int(entry["V"]), int(length) if length != "-" else None
+
+
 def index_of(path: str) -> Iterator[tuple[int, int]]:
-    """(offset in the package, length) of each record, from the package's index."""
+    """(offset in the package, length) of each record, from the package's indexes."""
     system, name = file_system(path)
     with system.open_input_file(name) as file:
-        members = {m.name: m for m in directory(file, file.size())}
-        base, index = data_start(file, members[WARC_MEMBER]), members[INDEX_MEMBER]
-        lines = file.read_at(index.size, data_start(file, index)).decode()
-    for line in lines.splitlines():
-        _, offset, length = line.split(" ")
-        yield base + int(offset), int(length)
+        members = directory(file, file.size())
+        archives = {m.name.rpartition("/")[2]: m for m in members if ARCHIVES.fullmatch(m.name)}
+        starts = {n: data_start(file, m) for n, m in archives.items()}
+        met, open_ended = set(), {}
+        for member in members:
+            if not INDEXES.fullmatch(member.name):
+                continue
+            for of, offset, length in entries_of(lines_of(file, member)):
+                of = of.rpartition("/")[2] if of else next(iter(archives)) if len(archives) == 1 else None
+                if of not in archives:
+                    raise ValueError(f"{path}: {member.name} refers to the archive {of}, which isn't there")
+                met.add(of)
+                if length is None:
+                    open_ended.setdefault(of, set()).add(offset)
+                else:
+                    yield starts[of] + offset, length
+        if missed := [n for n, m in archives.items() if m.size and n not in met]:
+            raise ValueError(f"{path}: no index covers {missed}")
+        for of, offsets in open_ended.items():  # a record without length ends where the next begins
+            edges = [*sorted(offsets), archives[of].size]
+            yield from ((starts[of] + a, b - a) for a, b in zip(edges, edges[1:]))
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -257,8 +331,8 @@ def read(spark: SparkSession, packages: DataFrame, *, with_payload: bool = False
     def locate(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                found = list(index_of(path))
-                if found:
+                entries = index_of(path)
+                while found := list(islice(entries, 50_000)):
                     offset, length = (pa.array(c, pa.int64()) for c in zip(*found))
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), offset, length], ["path", "offset", "length"])
 
@@ -288,9 +362,11 @@ def read(spark: SparkSession, packages: DataFrame, *, with_payload: bool = False
         for f in opened.values():
             f.close()
 
-    # by number, as the ranges say nothing of the bytes behind them
-    tasks = max(1, -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     located = packages.select("path").repartition(F.col("path")).mapInArrow(locate, "path string, offset long, length long")
+    located = materialise(located, "located").distinct()  # several indexes may list a record
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(most, -(-(located.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)))
+    # by number, as the ranges say nothing of the bytes behind them
     dealt = located.repartition(tasks, F.col("path"), F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(fetch, READ + ", payload binary" * with_payload)
 
