@@ -8,14 +8,16 @@ fingerprint lists the distinct chunks as ``digest`` (eight letters of base 64 of
 the bytes of the chunks they share, over the bytes of the smaller one.
 
 Defined cases: null text is the empty text; the fingerprint of the empty text is the empty string;
-two empty fingerprints are alike by 1, an empty and another by 0. Null ids sort first; equal ids are
-ordered by text. Repeated rows each get a row; extra columns are ignored; texts are taken whole.
+two empty fingerprints are alike by 1, an empty and another by 0. Null ids sort first; rows of one id
+are ordered by the first ``HEAD`` characters of their texts, and then as they are read. Repeated rows each
+get a row; an empty table gives an empty result; extra columns are ignored; very long texts are taken whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ LEAST, NORMAL, LARGEST, STRICT_BITS, LOOSE_BITS = 8, 32, 128, 6, 3
 #: Bytes that the hash at a place depends on.
 REACH = 16
 GEAR = np.random.RandomState(20240229).randint(0, 1 << 16, 256).astype(np.uint16)
+#: Characters of a text that order rows of one id, and rows for each range that the cuts are taken from.
+HEAD, SAMPLE = 32, 20
 DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 _LENGTH = [f"{DIGITS[n // 36]}{DIGITS[n % 36]}" for n in range(LARGEST + 1)]
 
@@ -177,63 +181,52 @@ def _probing(batches):
 def edit_probe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited form, with the next text in ascending order of ids.
 
-    Ids are cut into ranges of about equal numbers of rows at quantiles; a range's rows are brought
-    together and sorted, so the next text is the next row and texts travel once. The last row of a
-    range takes its next text from a copy of the first row of the following range (one row a range;
-    behind the last range the first row of all).
+    Rows are cut into ranges by id, beginning of the text and number as read, at quantiles of a sample of
+    at most about ``SAMPLE`` rows a range, so rows without an id, or with one id, are cut like others. A range's
+    rows are brought together and sorted, so the next text is the next row and texts travel once. The
+    last row of a range takes its next text from a copy of the first row of the following range (one
+    row a range; behind the last range the first row of all). What the driver holds, and what is
+    broadcast, has a row for each range, whose number follows that of the shuffle's partitions.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     ranges = ranges or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    cuts = sorted(set(cuts or []))
-
-    part = F.lit(0)
-    if cuts:  # the number of cuts at or below the id, by halving
-        part = F.coalesce(_count_below(F.col("doc_id"), cuts), F.lit(0))
-    rows = rows.withColumn("part", part)
-    firsts = [tuple(r) for r in rows.groupBy("part").agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull()) > 0).collect()]
-    if not firsts:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("head", F.substring("text", 1, HEAD))
+    total = docs.count()
+    if not total:
         return spark.createDataFrame([], SCHEMA)
-    order = sorted(firsts)
-    #: part -> the part before it in a circle; the first of part 0 may have a null id
-    before = {p: order[i - 1][0] for i, (p, _, _) in enumerate(order)}
-    first_ids = [None if null else low for _, low, null in order]
-    known = [i for i in first_ids if i is not None]
-    chosen = F.col("doc_id").isin(known) if known else F.lit(False)
-    if None in first_ids:
-        chosen = chosen | F.col("doc_id").isNull()
+    sample = rows.where(F.rand(7) < min(1.0, SAMPLE * ranges / total)).select("doc_id", "head", "row").toArrow()
+    keys = sorted(map(_key, *(sample.column(c).to_pylist() for c in ("doc_id", "head", "row"))))
+    sent = spark.sparkContext.broadcast(sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else [])
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, heads: pa.Array, numbers: pa.Array) -> pa.Array:
+        cuts = sent.value
+        return pa.array([bisect_right(cuts, k) for k in map(_key, ids.to_pylist(), heads.to_pylist(), numbers.to_pylist())], pa.int32())
+
+    rows = rows.withColumn("part", range_of("doc_id", "head", "row"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "head")
+    firsts = sorted(tuple(r) for r in rows.groupBy("part").agg(F.min(order).alias("at")).select("part", "at.*").collect())
+    #: the first row of a range, with the range before it in a circle
+    closes = [(part, known, i, head, firsts[k - 1][0]) for k, (part, known, i, head) in enumerate(firsts)]
+    closes = spark.createDataFrame(closes, "part int, known boolean, id long, head string, before int").select("part", "before", F.struct("known", "id", "head").alias("at"))
     closing = (
-        rows.where(chosen)
-        .groupBy("part", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("at"))
-        .agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
-        .groupBy("part")
-        .agg(F.min_by("text", "at").alias("text"))
-        .select(
-            F.lit(None).cast("long").alias("doc_id"),
-            "text",
-            F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part")).alias("part"),
-            F.lit(True).alias("closing"),
-        )
+        rows.withColumn("at", order)
+        .join(F.broadcast(closes), ["part", "at"])
+        .groupBy("before")
+        .agg(F.min_by("text", "row").alias("text"))
+        .select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("row"), F.lit("").alias("head"), F.col("before").alias("part"), F.lit(True).alias("closing"))
     )
     dealt = (
         rows.withColumn("closing", F.lit(False))
-        .select("doc_id", "text", "part", "closing")
         .unionByName(closing)
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
-        .sortWithinPartitions("part", "closing", F.col("doc_id").asc_nulls_first(), "text")
+        .sortWithinPartitions("part", "closing", F.col("doc_id").asc_nulls_first(), "head", "row")
     )
-    return dealt.mapInArrow(_probing, SCHEMA)
+    return dealt.select("doc_id", "text", "closing").mapInArrow(_probing, SCHEMA)
 
 
-def _count_below(value, cuts: list[int]):
-    """How many of the sorted cuts are at or below the value."""
-
-    def node(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value >= F.lit(cuts[mid]), node(mid + 1, hi)).otherwise(node(lo, mid))
-
-    return node(0, len(cuts))
+def _key(doc_id: int | None, head: str, row: int) -> tuple:
+    """The order of rows; null ids come first."""
+    return doc_id is not None, doc_id or 0, head, row
