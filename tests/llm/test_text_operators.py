@@ -39,10 +39,19 @@ def test_token_counts_are_the_library_s(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=5))
 def test_token_counts_of_any_text(texts):
-    counter = token_counts._counters.setdefault(WORDS, token_counts.PieceCounter(WORDS))
+    counter = token_counts.counter_of(WORDS)
     assert counter.count([t.encode() for t in texts]) == library_counts(texts)
 
 
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO_ENTRIES", 50)
+    counter, rng = token_counts.PieceCounter(WORDS), random.Random(3)
+    for _ in range(40):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 60) + "z" * rng.randint(0, 30) for _ in range(20)) for _ in range(3)]
+        assert counter.count([t.encode() for t in texts]) == library_counts(texts)
+        assert len(counter.memo) <= 50 and len(counter.older) <= 50 + 60 and all(len(w) <= 64 for w in {*counter.memo, *counter.older})
+
+
 def test_cache_encodes_misses_only_and_is_appended_to(spark, tmp_path):
     path = f"file://{tmp_path}/cache"
     token_counts.count_tokens(documents(spark, ["a b", "A  b", "c"]), WORDS, path).collect()
@@ -159,6 +168,28 @@ def test_edit_probe_against_a_loop(spark):
         assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
+def test_edit_probe_cuts_rows_without_id_and_rows_of_one_id(spark, monkeypatch):
+    """Rows of one id or none are spread over ranges, and each still meets the next one."""
+    texts = [f"{i:05d} text" for i in range(400)]
+    for ids in ([None] * 400, [7] * 400):
+        frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+        probe = fingerprints.edit_probe(frame, ranges=16)
+        spread = probe.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(spread) == 400 and max(spread) < 250
+        edited = {hashlib.sha256((t[: len(t) - 2] + u[:2]).encode()).hexdigest() for t, u in zip(texts, texts[1:] + texts[:1])}
+        assert {r.edited_sha256 for r in probe.collect()} == edited
+    same = spark.createDataFrame([(None, "same")] * 300 + [(1, "other")], "doc_id bigint, text string")
+    found = [r.edited_sha256 for r in fingerprints.edit_probe(same, ranges=8).collect()]
+    assert sorted(found).count(hashlib.sha256(b"sams").hexdigest()) == 299 and len(found) == 301
+
+
+def test_edits_stay_near_and_next_texts_do_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars >= 400")
+    found = fingerprints.edit_probe(docs).toPandas()
+    assert found.near_edited.mean() > 0.7 and found.near_edited.min() > 0.4
+    assert found.near_next.mean() < 0.01
+
+
 def test_bucket_bounds_against_all_choices():
     rng = np.random.RandomState(10)
     for _ in range(30):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm._common import bounded_batches, fresh_path, materialise, text_of
+from weft.llm._common import bounded_batches, fresh_path, kept_by_worker, materialise, text_of
 
 CACHE_SCHEMA = T.StructType(
     [
@@ -34,7 +34,8 @@ CACHE_SCHEMA = T.StructType(
         T.StructField("n_tokens", T.LongType()),
     ]
 )
-MEMO_ENTRIES, MEMO_KEY_BYTES, GROUP_BYTES = 1_000_000, 64, 1 << 20
+#: Pieces in each of the two generations that a worker remembers, and bytes of the longest of them.
+MEMO_ENTRIES, MEMO_KEY_BYTES, GROUP_BYTES = 200_000, 64, 1 << 20
 
 
 def tokenizer_digest(path: str) -> str:
@@ -73,6 +74,7 @@ class PieceCounter:
             spec = json.load(f)
         self.by_piece, self.lower = splits_at_space(spec), lower_cases(spec)
         self.memo: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,22 +85,22 @@ class PieceCounter:
         if self.lower:
             texts = [t.lower() if t.isascii() and b"<|" not in t else t for t in texts]
         parts = [t.split() for t in texts]
-        memo = self.memo
+        memo, older = self.memo, self.older
         missing = [w for w in set(chain.from_iterable(parts)) if w not in memo]
+        memo.update((w, older[w]) for w in missing if w in older)
+        missing = [w for w in missing if w not in memo]
         for i in range(0, len(missing), 4096):
             some = missing[i : i + 4096]
             memo.update(zip(some, self.encode([w.decode() for w in some])))
         out = [sum(map(memo.__getitem__, p)) for p in parts]
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        else:
-            for w in missing:
-                if len(w) > MEMO_KEY_BYTES:
-                    del memo[w]
+        for w in missing:
+            if len(w) > MEMO_KEY_BYTES:
+                del memo[w]
+        if len(memo) > MEMO_ENTRIES:  # pieces that come again move on, the others are forgotten with the older generation
+            self.memo, self.older = {}, memo
         return out
 
 
-_counters: dict[str, PieceCounter] = {}
 
 
 def grouped(texts: list[bytes], most: int = GROUP_BYTES):
@@ -114,9 +116,7 @@ def grouped(texts: list[bytes], most: int = GROUP_BYTES):
 
 
 def counter_of(path: str) -> PieceCounter:
-    if path not in _counters:
-        _counters[path] = PieceCounter(path)
-    return _counters[path]
+    return kept_by_worker(f"tokens of {path}", lambda: PieceCounter(path))
 
 
 def _counting(path: str):
