@@ -78,12 +78,12 @@ class Indicators:
 
     def of(self, text: bytes) -> np.ndarray:
         w, s = self.words.hashes(text)
-        parts = [_mix(w, w), _mix(w[:-1], w[1:])]
+        parts = [_mix(w, ~w), _mix(w[:-1], w[1:])]
         if len(w):
             s = s.copy()
             s[1:][w[1:] == w[:-1]] ^= _P2  # a word said again
             pairs = _mix(s[:-1], s[1:])
-            parts += [_mix(s, s), pairs, _mix(pairs[:-1], s[2:])]
+            parts += [_mix(s, ~s), pairs, _mix(pairs[:-1], s[2:])]
         ids = (np.concatenate(parts) >> np.uint64(64 - BITS - 8)).astype(np.int64) & (SIZE - 1)
         order = np.arange(len(ids), dtype=np.int32)
         self.mark[ids] = order
