@@ -281,15 +281,17 @@ def entries_of(lines: Iterator[str]) -> Iterator[tuple[str | None, int, int | No
     """(file name, offset, length) of the lines of a CDX or CDXJ index; names and lengths may be missing."""
     fields: list[str] | None = None
     for line in lines:
+        if not line.strip() or line.startswith("!"):
+            continue
         if line.strip().startswith("CDX "):
             fields = line.split()[1:]
         elif (brace := line.find("{")) >= 0 and fields is None:
             entry = json.loads(line[brace:])
             length = entry.get("length")
             yield entry.get("filename"), int(entry["offset"]), int(length) if length not in (None, "", "-") else None
-        elif line.strip() and not line.startswith("!"):
-            if fields is None:
-                raise ValueError("an index without lines of CDXJ or a header of CDX")
+        elif fields is None:
+            raise ValueError("an index without lines of CDXJ or a header of CDX")
+        else:
             entry = dict(zip(fields, line.split()))
             length = entry.get("S", "-")
             yield entry.get("g"), int(entry["V"]), int(length) if length != "-" else None
