@@ -50,3 +50,18 @@ def test_entry_and_names(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_only_the_optional_parts_may_be_missing():
+    import __spark_entry__ as entry
+
+    def missing(name):
+        def load():
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+        return load
+
+    assert entry._optional(missing("weft.llm")) is None and entry._optional(missing("weft.llm.queries")) is None and entry._optional(missing("corpus_pipeline")) is None
+    for name in ("public_tokenizers", "weft.plans", "xxhash"):
+        with pytest.raises(ImportError):
+            entry._optional(missing(name))

@@ -50,7 +50,24 @@ def test_equal_points_and_no_points(spark):
 
 def test_bisecting(spark, blobs):
     found = clustering.bisecting(points(spark, blobs), 4)
-    assert len(found.centroids) == 4 and found.inertia < 60
+    assert len(found.centroids) == 4 and found.inertia < 60 and found.iterations >= 3
+    label = {r.id: (r.cluster, r.dist2) for r in found.predict(points(spark, blobs)).collect()}
+    c = np.array(found.centroids)
+    assert sum(d for _, d in label.values()) == pytest.approx(found.inertia)
+    for i, p in enumerate(blobs):
+        assert label[i][1] == pytest.approx(((p - c[label[i][0]]) ** 2).sum())
+    # the centroids are the means of their points
+    for k in range(4):
+        assert np.allclose(blobs[[label[i][0] == k for i in range(len(blobs))]].mean(0), c[k], atol=1e-3)
+
+
+def test_bisecting_splits_the_highest_inertia(spark):
+    """Two far groups, one tight and large, one loose: the loose one is split next, whatever their sizes."""
+    x = [[0.0 + i * 0.001] for i in range(50)] + [[100.0], [101.0], [109.0], [110.0]]
+    found = clustering.bisecting(points(spark, x), 3)
+    assert sorted(round(c[0], 1) for c in found.centroids) == [0.0, 100.5, 109.5]
+    assert clustering.bisecting(points(spark, [[1.0]] * 4), 3).centroids == [[1.0]]
+    assert clustering.bisecting(points(spark, np.empty((0, 2))), 3).centroids == []
 
 
 def test_silhouette_with_a_lone_point(spark):

@@ -133,6 +133,28 @@ def test_recommender_small(spark):
         minhash.recommend(titles, "nobody")
 
 
+def test_recommender_of_empty_and_one_genre_logs(spark):
+    none = spark.createDataFrame([], TITLES)
+    assert minhash.signatures(none).count() == 0 and minhash.recommend_all(none).count() == 0
+    one = spark.createDataFrame([("a", "t1", "X", 1), ("b", "t2", "X", 1)], TITLES)
+    assert sorted((r.user_id, r.title) for r in minhash.recommend_all(one).collect()) == [("a", "t2"), ("b", "t1")]
+
+
+def test_labelled_recommendations(spark):
+    found = minhash.labelled(spark.createDataFrame([("a", 1, "t"), ("b", 1, "s")], "user_id string, rank int, title string"), "a")
+    assert found.columns == ["rank", "Recommended Movies for User a"] and [tuple(r) for r in found.collect()] == [(1, "t")]
+
+
+def test_the_log_is_read_once_for_the_features(spark):
+    """The feature table's plan reads the written summary; writing that takes the log once, and once more for usual values."""
+    from weft.plans.catalogue import QUERIES
+
+    plan = QUERIES["user_features_imputed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_type" not in plan and "props" not in plan
+    cleaned = clean(raw(spark, ("2024-01-05 20:00:00", 600.0, "t", "A", "2000-01-01", "m1", "u")))
+    assert features.summary(cleaned)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + features.summary(cleaned)._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 2
+
+
 def test_signatures_against_a_loop(spark):
     titles = spark.createDataFrame([(f"u{i}", "t", ", ".join(g for k, g in enumerate("abcdefgh") if (i >> k) & 1), 1) for i in range(1, 40)], TITLES)
     known = minhash.genre_list(titles)

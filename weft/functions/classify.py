@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from weft.config import DEFAULT, Config
 
 
+#: The classes of each function below, by its name.
+VALUES = {
+    "time_of_day": ("Morning", "Afternoon", "Night"),
+    "daytime": ("Daytime", "Nighttime"),
+    "season": ("Winter", "Spring", "Summer", "Autumn"),
+    "part_of_week": ("Weekday", "Weekend"),
+    "old_film": ("True", "False"),
+    "click_length": ("Short", "Medium", "Long"),
+    "follow_through_class": ("Low", "Medium", "High"),
+}
+
+
 def time_of_day(ts: Column) -> Column:
     hour = F.hour(ts)
     return F.when(hour.between(4, 11), "Morning").when(hour.between(12, 19), "Afternoon").otherwise("Night")

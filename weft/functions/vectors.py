@@ -10,12 +10,8 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def constant_vectors(rows: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
-
-
-def distances_to(point: Column, centroids: list[list[float]]) -> Column:
-    return F.transform(constant_vectors(centroids), lambda c: squared_distance(point, c))
+def distances_to(point: Column, centroids: Column) -> Column:
+    return F.transform(centroids, lambda c: squared_distance(point, c))
 
 
 def nearest(distances: Column) -> Column:

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.config import DEFAULT, Config
 
 
-def mode_by(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value): each key's most frequent value, the smallest on ties; null keys and values don't count.
+def modes_by(rows: DataFrame, key: str, values: tuple[str, ...]) -> DataFrame:
+    """(key, usual_<value>, ...): each key's most frequent value of each column, the smallest on ties; nulls don't count.
 
-    Counts by (key, value) first, so no key's rows meet in one task.
+    One pass over the rows: counts by (key, column, value) first, so no key's rows meet in one task.
     """
-    counts = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    return counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(value))).alias("best")).select(key, F.col(f"best.{value}").alias(value))
+    known = reduce(Column.__or__, [F.col(v).isNotNull() for v in values])
+    each = F.array(*[F.struct(F.lit(k).alias("_k"), *[(F.col(v) if v == w else F.lit(None).cast(t)).alias(v) for v, t in rows.select(*values).dtypes]) for k, w in enumerate(values)])
+    long = rows.where(F.col(key).isNotNull()).select(key, F.inline(each)).where(known)
+    counts = long.groupBy(key, "_k", *values).agg(F.count("*").alias("_n"))
+    best = lambda k, v: F.min(F.when(F.col("_k") == k, F.struct((-F.col("_n")).alias("_n"), F.col(v))))[v].alias(f"usual_{v}")
+    return counts.groupBy(key).agg(*[best(k, v) for k, v in enumerate(values)])
+
+
+def mode_by(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): each key's most frequent value, where it has one."""
+    return modes_by(rows, key, (value,)).withColumnRenamed(f"usual_{value}", value)
 
 
 def clean(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -31,16 +42,14 @@ def clean(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
         "movie_id",
         "user_id",
     )
-    genres = mode_by(rows, "title", "genres").withColumnRenamed("genres", "usual_genres")
-    dates = mode_by(rows, "title", "release_date").withColumnRenamed("release_date", "usual_date")
-    usual = genres.join(dates, "title", "full")
+    usual = modes_by(rows, "title", ("genres", "release_date"))
     known = F.col("title").isNotNull()
     return rows.join(usual, "title", "left").select(
         "datetime",
         "duration",
         "title",
         F.when(known, F.coalesce("genres", "usual_genres")).alias("genres"),
-        F.when(known, F.coalesce("release_date", "usual_date")).alias("release_date"),
+        F.when(known, F.coalesce("release_date", "usual_release_date")).alias("release_date"),
         "movie_id",
         "user_id",
     )

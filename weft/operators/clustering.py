@@ -1,8 +1,9 @@
 """k-Means by Lloyd's steps over array columns, with random and D^2 seeding, and bisecting k-Means.
 
-Points are (id, features array<double>). Centroids are few and travel as literals; a step is one
-aggregation with partial sums. A cluster that loses its points keeps its centroid. Seeding is by
-hashes of ids, so it does not depend on how rows are partitioned.
+Points are (id, features array<double>). Centroids are few and travel as one broadcast row, so every
+step runs the same compiled plan; a step is one aggregation with partial sums. A cluster that loses its
+points keeps its centroid. Seeding is by MD5 hashes of ids, so it does not depend on how rows are
+partitioned.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ def points_of(rows: DataFrame, id_col: str, columns: list[str] | str) -> DataFra
     return rows.select(F.col(id_col).alias("id"), features.alias("features")).where(~F.exists("features", lambda x: x.isNull() | F.isnan(x)))
 
 
+def with_centroids(points: DataFrame, centroids: Centroids) -> DataFrame:
+    """The points with the squared distances from all centroids in ``_d``; the centroids are one broadcast row."""
+    row = points.sparkSession.createDataFrame(pa.table({"_centroids": pa.array([centroids], pa.list_(pa.list_(pa.float64())))}))
+    return points.crossJoin(F.broadcast(row)).withColumn("_d", distances_to(F.col("features"), F.col("_centroids"))).drop("_centroids")
+
+
 def assign(points: DataFrame, centroids: Centroids) -> DataFrame:
     """(id, features, cluster, dist2): the nearest centroid, the first of equals."""
-    return (
-        points.withColumn("_d", distances_to(F.col("features"), centroids))
-        .select("id", "features", nearest(F.col("_d")).alias("cluster"), F.array_min("_d").alias("dist2"))
-    )
+    found = with_centroids(points, centroids)
+    return found.select(*points.columns, nearest(F.col("_d")).alias("cluster"), F.array_min("_d").alias("dist2"))
 
 
 def update(assigned: DataFrame, centroids: Centroids) -> tuple[Centroids, float]:
@@ -46,8 +51,9 @@ def update(assigned: DataFrame, centroids: Centroids) -> tuple[Centroids, float]
 
 
 def uniform(id_col: str, *salt: int) -> Column:
-    """A number in (0, 1) from a hash of the id."""
-    return (F.pmod(F.xxhash64(id_col, *[F.lit(s) for s in salt]), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    """A number in (0, 1) from the first 13 hexadecimal digits of an MD5 hash of the id and the salt, between dashes."""
+    digits = F.substring(F.md5(F.concat_ws("-", F.col(id_col).cast("string"), *[F.lit(str(s)) for s in salt])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / float(1 << 52)
 
 
 def random_seeds(points: DataFrame, k: int, seed: int) -> Centroids:
@@ -58,8 +64,8 @@ def plus_plus_seeds(points: DataFrame, k: int, seed: int) -> Centroids:
     """Each further seed is drawn with weight of its squared distance from the seeds so far, by exponential races."""
     chosen = random_seeds(points, 1, seed)
     for step in range(1, k):
-        race = F.try_divide(-F.log(uniform("id", seed, step)), F.array_min(distances_to(F.col("features"), chosen)))
-        rows = points.withColumn("_race", race).where("_race IS NOT NULL").orderBy("_race", "id").limit(1).collect()
+        race = F.try_divide(-F.log(uniform("id", seed, step)), F.array_min("_d"))
+        rows = with_centroids(points, chosen).withColumn("_race", race).where("_race IS NOT NULL").orderBy("_race", "id").limit(1).collect()
         if not rows:
             break
         chosen.append(list(rows[0]["features"]))
@@ -97,16 +103,60 @@ def kmeans(points: DataFrame, k: int = 4, *, init: str | Centroids = "random", m
             points.unpersist()
 
 
-def bisecting(points: DataFrame, k: int = 4, seed: int = 42) -> Clustering:
-    """Bisecting k-Means of the ML library, which splits level by level, larger clusters first."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
+@dataclass
+class Bisection:
+    """A tree of splits: of each inner node its two children, of each leaf its cluster. Node 0 is the root."""
+
+    centroids: Centroids
+    inertia: float
+    iterations: int
+    node_centroids: Centroids
+    children: dict[int, tuple[int, int]]
+    leaves: list[int]
 
-    rows = points.select("id", array_to_vector("features").alias("features"))
-    model = BisectingKMeans(k=k, seed=seed).fit(rows)
-    centroids = [c.tolist() for c in model.clusterCenters()]
-    inertia = assign(points, centroids).agg(F.coalesce(F.sum("dist2"), F.lit(0.0))).first()[0]
-    return Clustering(centroids, float(inertia), model.getMaxIter())
+    def predict(self, points: DataFrame) -> DataFrame:
+        """(id, features, cluster, dist2): down the tree, the nearer child each time, the first of equals."""
+        at = F.col("_node")
+        rows = with_centroids(points, self.node_centroids).withColumn("_node", F.lit(0))
+        for _ in self.children:  # no deeper than there are splits
+            down = at
+            for node, (a, b) in self.children.items():
+                down = F.when(at == node, F.when(F.col("_d")[b] < F.col("_d")[a], b).otherwise(a)).otherwise(down)
+            rows = rows.withColumn("_node", down)
+        cluster = F.array_position(F.array(*[F.lit(x) for x in self.leaves]), at) - 1
+        return rows.select(*points.columns, cluster.cast("int").alias("cluster"), F.element_at("_d", at + 1).alias("dist2"))
+
+
+def bisecting(points: DataFrame, k: int = 4, seed: int = 42, *, max_iter: int = 300, tol: float = 1e-4) -> Bisection:
+    """Bisecting k-Means: the cluster with the highest inertia is split in two by k-Means, until there are ``k``.
+
+    A cluster that can't be split (one point, or equal ones) is left as it is.
+    """
+    width = _width(points)
+    first = points.agg(F.count("*").alias("n"), *[F.avg(F.col("features")[i]).alias(f"f{i}") for i in range(width)]).first()
+    if not first["n"]:
+        return Bisection([], 0.0, 0, [], {}, [])
+    tree = Bisection([], 0.0, 0, [[float(first[f"f{i}"]) for i in range(width)]], {}, [0])
+    inertia = {0: float(tree.predict(points).agg(F.sum("dist2")).first()[0])}
+    while len(tree.leaves) < k and max(inertia.values()) > 0:
+        worst = max(tree.leaves, key=lambda x: (inertia[x], -x))
+        own = tree.predict(points).where(F.col("cluster") == tree.leaves.index(worst)).select(*points.columns)
+        split = kmeans(own, 2, init="k-means++", seed=seed, max_iter=max_iter, tol=tol)
+        tree.iterations += split.iterations
+        if len(split.centroids) < 2:
+            inertia[worst] = 0.0
+            continue
+        a = len(tree.node_centroids)
+        tree.node_centroids += split.centroids
+        tree.children[worst] = (a, a + 1)
+        at = tree.leaves.index(worst)
+        tree.leaves[at : at + 1] = [a, a + 1]
+        parts = {r["cluster"]: r["s"] for r in split.predict(own).groupBy("cluster").agg(F.sum("dist2").alias("s")).collect()}
+        inertia |= {a: float(parts.get(0, 0.0)), a + 1: float(parts.get(1, 0.0))}
+        del inertia[worst]
+    tree.centroids = [tree.node_centroids[x] for x in tree.leaves]
+    tree.inertia = float(tree.predict(points).agg(F.sum("dist2")).first()[0])
+    return tree
 
 
 def centroid_table(spark, centroids: Centroids) -> DataFrame:
@@ -146,12 +196,12 @@ def calinski_harabasz(labelled: DataFrame) -> DataFrame:
 
 
 def silhouette(labelled: DataFrame, sample: int = 10_000, seed: int = 42) -> DataFrame:
-    """Mean silhouette over a hash-chosen sample of at most ``sample`` points, as one row.
+    """Mean silhouette over a sample of at most ``sample`` points, those with the smallest MD5 hashes, as one row.
 
     The sample is bounded, so it is broadcast whole; each task compares its points with all of it in
     blocks. A point alone in its cluster counts 0.
     """
-    chosen = labelled.orderBy(uniform("id", seed), "id").limit(sample).select("id", "features", F.col("cluster").cast("int").alias("cluster"))
+    chosen = labelled.orderBy(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(sample).select("id", "features", F.col("cluster").cast("int").alias("cluster"))
     got = chosen.toArrow()
     if len(got) < 2:
         return labelled.sparkSession.createDataFrame([(None,)], "silhouette double")

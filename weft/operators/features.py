@@ -1,7 +1,9 @@
 """Fifteen features of each user, from the cleaned log.
 
-Three families of aggregates, each one pass: counts and sums (``totals``), the class with the largest
-weight for six class features (``dominant_classes``), and genres (``genre_features``).
+The log is read once: ``summary`` sums it by user and genre string, with a column for each class of the
+six class features, so nothing is exploded and no more rows than clicks come out. Sums and ratios
+(``totals``), the class with the largest weight (``dominant_classes``) and genres (``genre_features``)
+come from the summary; ``user_features`` writes it first, so that the three read that and not the log.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.config import DEFAULT, Config
 from weft.functions import classify
+from weft.storage import materialise
 
 TOTALS = ("avg_click_duration", "avg_time_per_day", "ft_probability", "mean_duration_peak_hour", "total_time_spent", "consistency_ratio", "avg_click_per_movie")
 CLASSES = ("most_active_time_day", "is_old_movie_lover", "most_active_time_week", "most_active_season", "most_common_click_length", "most_active_daytime")
@@ -23,61 +26,73 @@ FEATURES = (
 NO_GENRE = "NaN"
 
 
-def totals(clicks: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The seven sums and ratios of each user."""
-    day, duration = F.to_date("datetime"), F.col("duration")
-    per_user = (
-        clicks.where("user_id IS NOT NULL")
-        .groupBy("user_id")
-        .agg(
-            F.avg(duration).alias("avg_click_duration"),
-            F.try_divide(F.sum(F.when(F.col("datetime").isNotNull(), duration)), F.countDistinct(day)).alias("avg_time_per_day"),
-            F.try_divide(F.count_if(duration >= config.follow_through), F.count("title")).alias("ft_probability"),
-            F.avg(F.when(classify.is_peak_hour(F.col("datetime")) == 1, duration)).alias("mean_duration_peak_hour"),
-            F.sum(duration).alias("total_time_spent"),
-            F.countDistinct(day).alias("days"),
-            F.try_divide(F.count("movie_id"), F.countDistinct("movie_id")).alias("avg_click_per_movie"),
-        )
-    )
-    every = clicks.agg(F.countDistinct(day).alias("all_days"))  # one row
-    return per_user.crossJoin(F.broadcast(every)).select(
-        "user_id", *[F.try_divide("days", "all_days").alias(c) if c == "consistency_ratio" else F.col(c) for c in TOTALS]
-    )
-
-
-def class_weights(config: Config = DEFAULT) -> list[tuple[str, Column, Column]]:
-    """(feature, class, weight) of the six class features: durations, but one click each for click lengths."""
+def class_weights(config: Config = DEFAULT) -> list[tuple[str, str, Column, Column]]:
+    """(feature, class function, class, weight) of the six class features: durations, but one click each for click lengths."""
     ts, duration = F.col("datetime"), F.col("duration")
     return [
-        ("most_active_time_day", classify.time_of_day(ts), duration),
-        ("is_old_movie_lover", classify.old_film(F.col("release_date"), config), duration),
-        ("most_active_time_week", classify.part_of_week(ts), duration),
-        ("most_active_season", classify.season(ts), duration),
-        ("most_common_click_length", classify.click_length(duration, config), F.lit(1.0)),
-        ("most_active_daytime", classify.daytime(ts), duration),
+        ("most_active_time_day", "time_of_day", classify.time_of_day(ts), duration),
+        ("is_old_movie_lover", "old_film", classify.old_film(F.col("release_date"), config), duration),
+        ("most_active_time_week", "part_of_week", classify.part_of_week(ts), duration),
+        ("most_active_season", "season", classify.season(ts), duration),
+        ("most_common_click_length", "click_length", classify.click_length(duration, config), F.lit(1.0)),
+        ("most_active_daytime", "daytime", classify.daytime(ts), duration),
     ]
 
 
-def dominant_classes(clicks: DataFrame, only: str | None = None, config: Config = DEFAULT) -> DataFrame:
-    """For each user the class with the largest total weight, the alphabetically first on ties, a column a feature."""
-    chosen = [(f, c, w) for f, c, w in class_weights(config) if only in (None, f)]
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), c.alias("class"), w.cast("double").alias("weight")) for f, c, w in chosen])
-    long = clicks.where("user_id IS NOT NULL").select("user_id", F.inline(rows)).where("class IS NOT NULL")
-    sums = long.groupBy("user_id", "feature", "class").agg(F.sum("weight").alias("weight"))
-    # sums and classes are few for each user, so the best of them comes from a second partial aggregate
-    per_feature = [F.min(F.when(F.col("feature") == f, F.struct((-F.col("weight")).alias("weight"), F.col("class"))))["class"].alias(f) for f, _, _ in chosen]
-    return sums.groupBy("user_id").agg(*per_feature)
+def _weight_name(feature: str, value: str) -> str:
+    return f"{feature}_{value}"
+
+
+def summary(clicks: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Sums of the log by user and genre string, null users too, with the distinct days and movies of each."""
+    duration, peak = F.col("duration"), classify.is_peak_hour(F.col("datetime")) == 1
+    weights = [F.sum(F.when(c == v, w.cast("double"))).alias(_weight_name(f, v)) for f, kind, c, w in class_weights(config) for v in classify.VALUES[kind]]
+    return clicks.groupBy("user_id", "genres").agg(
+        F.sum(duration).alias("time"),
+        F.count(duration).alias("clicks"),
+        F.sum(F.when(F.col("datetime").isNotNull(), duration)).alias("dated_time"),
+        F.count_if(duration >= config.follow_through).alias("followed"),
+        F.count("title").alias("titled"),
+        F.sum(F.when(peak, duration)).alias("peak_time"),
+        F.count(F.when(peak, duration)).alias("peak_clicks"),
+        F.count("movie_id").alias("movie_clicks"),
+        F.collect_set(F.to_date("datetime")).alias("days"),  # no more than there are days, and movies
+        F.collect_set("movie_id").alias("movies"),
+        *weights,
+    )
 
 
-def genre_features(clicks: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """favourite_genre (the genre with the largest total time, where no genre competes as one) and genre_diversity."""
+def totals(sums: DataFrame) -> DataFrame:
+    """The seven sums and ratios of each user, from the summary."""
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    parts = ("time", "clicks", "dated_time", "followed", "titled", "peak_time", "peak_clicks", "movie_clicks")
+    per_user = sums.where("user_id IS NOT NULL").groupBy("user_id").agg(*[F.sum(c).alias(c) for c in parts], distinct("days").alias("days"), distinct("movies").alias("movies"))
+    every = sums.select(F.explode("days").alias("day")).agg(F.countDistinct("day").alias("all_days"))  # one row
+    ratios = {
+        "avg_click_duration": F.try_divide("time", "clicks"), "avg_time_per_day": F.try_divide("dated_time", "days"), "ft_probability": F.try_divide("followed", "titled"),
+        "mean_duration_peak_hour": F.try_divide("peak_time", "peak_clicks"), "total_time_spent": F.col("time"), "consistency_ratio": F.try_divide("days", "all_days"),
+        "avg_click_per_movie": F.try_divide("movie_clicks", "movies"),
+    }
+    return per_user.crossJoin(F.broadcast(every)).select("user_id", *[ratios[c].alias(c) for c in TOTALS])
+
+
+def dominant_classes(sums: DataFrame, only: str | None = None, config: Config = DEFAULT) -> DataFrame:
+    """For each user the class with the largest total weight, the alphabetically first on ties, a column a feature; from the summary."""
+    chosen = [(f, classify.VALUES[kind]) for f, kind, _, _ in class_weights(config) if only in (None, f)]
+    weights = [F.sum(_weight_name(f, v)).alias(_weight_name(f, v)) for f, values in chosen for v in values]
+    best = lambda f, values: F.array_min(
+        F.filter(F.array(*[F.when(F.col(_weight_name(f, v)).isNotNull(), F.struct((-F.col(_weight_name(f, v))).alias("weight"), F.lit(v).alias("class"))) for v in values]), lambda x: x.isNotNull())
+    )["class"]
+    return sums.where("user_id IS NOT NULL").groupBy("user_id").agg(*weights).select("user_id", *[best(f, values).alias(f) for f, values in chosen])
+
+
+def genre_features(sums: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """favourite_genre (the genre with the largest total time, where no genre competes as one) and genre_diversity; from the summary."""
     genre = F.explode(F.split(F.coalesce("genres", F.lit(NO_GENRE)), config.genre_separator))
-    sums = clicks.where("user_id IS NOT NULL").select("user_id", "duration", genre.alias("genre")).groupBy("user_id", "genre").agg(F.sum("duration").alias("time"))
+    times = sums.where("user_id IS NOT NULL").select("user_id", "time", genre.alias("genre")).groupBy("user_id", "genre").agg(F.sum("time").alias("time"))
     known = F.when(F.col("genre") != NO_GENRE, F.col("genre"))
-    every = clicks.where("genres IS NOT NULL").select(F.explode(F.split("genres", config.genre_separator)).alias("genre")).agg(F.countDistinct("genre").alias("all_genres"))
-    per_user = sums.groupBy("user_id").agg(
-        F.min(F.struct((-F.col("time")).alias("time"), F.col("genre")))["genre"].alias("favourite"), F.count(known).alias("own_genres")
-    )
+    every = sums.where("genres IS NOT NULL").select(F.explode(F.split("genres", config.genre_separator)).alias("genre")).agg(F.countDistinct("genre").alias("all_genres"))
+    per_user = times.groupBy("user_id").agg(F.min(F.struct((-F.col("time")).alias("time"), F.col("genre")))["genre"].alias("favourite"), F.count(known).alias("own_genres"))
     return per_user.crossJoin(F.broadcast(every)).select(
         "user_id",
         F.nullif(F.col("favourite"), F.lit(NO_GENRE)).alias("favourite_genre"),
@@ -86,11 +101,12 @@ def genre_features(clicks: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def user_features(clicks: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The feature table: every user of the log, left-joined with the other families on the user."""
+    """The feature table: every user of the log, left-joined with the other families on the user; reads the log once."""
+    sums = materialise(summary(clicks, config), "summary")
     return (
-        genre_features(clicks, config)
-        .join(totals(clicks, config), "user_id", "left")
-        .join(dominant_classes(clicks, config=config), "user_id", "left")
+        genre_features(sums, config)
+        .join(totals(sums), "user_id", "left")
+        .join(dominant_classes(sums, config=config), "user_id", "left")
         .select("user_id", *FEATURES)
     )
 

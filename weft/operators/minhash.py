@@ -51,7 +51,9 @@ def characteristic_matrix(titles: DataFrame, config: Config = DEFAULT) -> DataFr
 
 
 def coefficients(largest_index: int, config: Config = DEFAULT) -> tuple[list[int], list[int]]:
-    """The hashes' a and b, below the largest index."""
+    """The hashes' a and b, below the largest index; zeros where there is one genre or none."""
+    if largest_index < 1:
+        return [0] * config.hashes, [0] * config.hashes
     random = np.random.RandomState(config.hash_seed)
     return tuple(random.randint(0, largest_index, size=config.hashes).tolist() for _ in range(2))
 
@@ -59,10 +61,8 @@ def coefficients(largest_index: int, config: Config = DEFAULT) -> tuple[list[int
 def signatures(titles: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(user_id, genres, signature)."""
     known = genre_list(titles, config)
-    if len(known) < 2:
-        raise ValueError("signatures need two genres or more")
     a, b = coefficients(len(known) - 1, config)
-    number = F.create_map(*[F.lit(x) for i, g in enumerate(known) for x in (g, i)])
+    number = F.create_map(*[F.lit(x) for i, g in enumerate(known) for x in (g, i)]) if known else F.create_map().cast("map<string,int>")
     hashes = F.array(*[F.struct(F.lit(p).alias("a"), F.lit(q).alias("b")) for p, q in zip(a, b)])
     indexes = F.transform("genres", lambda g: F.element_at(number, g))
     signed = user_genres(titles, config).withColumn("indexes", indexes)
@@ -131,7 +131,7 @@ def recommend(titles: DataFrame, user_id: str | None = None, seed: int | None =
     """Recommendations for one user; without an id for one chosen by a seeded hash."""
     users = titles.select("user_id").where("user_id IS NOT NULL")
     if user_id is None:
-        chosen = users.distinct().orderBy(F.xxhash64("user_id", F.lit(config.hash_seed if seed is None else seed)), "user_id").limit(1).collect()
+        chosen = users.distinct().orderBy(F.md5(F.concat_ws("-", "user_id", F.lit(str(config.hash_seed if seed is None else seed)))), "user_id").limit(1).collect()
         if not chosen:
             raise ValueError("no users")
         user_id = chosen[0]["user_id"]
@@ -141,6 +141,11 @@ def recommend(titles: DataFrame, user_id: str | None = None, seed: int | None =
     return recommend_all(titles, config, similar)
 
 
+def labelled(recommendations: DataFrame, user_id: str) -> DataFrame:
+    """(rank, title) of one user's recommendations, the titles under a heading that names the user."""
+    return recommendations.where(F.col("user_id") == user_id).select("rank", F.col("title").alias(f"Recommended Movies for User {user_id}"))
+
+
 def s_curve(spark, hashes: int = 100, band_counts: tuple[int, ...] = (5, 20, 25, 50), points: int = 100) -> DataFrame:
     """(bands, similarity, probability) of the collision curves."""
     from weft.functions.vectors import collision_probability

@@ -2,8 +2,8 @@
 
 Each indicator is divided by the root of its share and centred, so a rare category weighs as much as a
 common one. The covariance of the joined columns has a size that follows the columns only; it is
-summed where the rows are and decomposed on the driver. A component's sign makes its largest loading
-positive.
+summed where the rows are and decomposed on the driver by the ML library. A component's sign makes its
+largest loading positive.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,21 +59,12 @@ def fit(rows: DataFrame, id_col: str, numeric: list[str], categorical: list[str]
             columns.append(F.when(F.col(c) == value, 1.0).otherwise(0.0) / float(np.sqrt(share)) - float(np.sqrt(share)))
             names.append(f"{c}={value}")
     d = len(columns)
-    if not n or not d:
+    if n < 2 or not d:
         return MixedComponents(id_col, columns, names, np.zeros((d, components)), np.zeros(components), np.zeros(components))
-    row = rows.select(F.array(*columns).alias("v"))
-    # the upper triangle of the products, as one aggregated array
-    outer = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 1, F.lit(d) - i), lambda y: x * y)))
-    sums = row.select(F.posexplode(outer).alias("at", "p")).groupBy("at").agg(F.sum("p").alias("s")).collect()
-    cov = np.zeros((d, d))
-    upper = np.triu_indices(d)
-    values = np.zeros(len(upper[0]))
-    for at, s in sums:
-        values[at] = s
-    cov[upper] = values / n
-    cov = cov + np.triu(cov, 1).T
-    eigen, vectors = np.linalg.eigh(cov)
-    order = np.argsort(-eigen)[:components]
-    loadings = vectors[:, order]
+    # products are summed in one matrix a task, and the matrices by a tree; columns have mean 0
+    vectors = rows.select(F.array(*columns).alias("v"))
+    total = vectors.agg(F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    model = PCA(k=min(components, d), inputCol="v", outputCol="pc").fit(vectors.select(array_to_vector("v").alias("v")))
+    loadings, explained = model.pc.toArray(), model.explainedVariance.toArray()
     loadings = loadings * np.where(loadings[np.abs(loadings).argmax(0), np.arange(loadings.shape[1])] < 0, -1, 1)
-    return MixedComponents(id_col, columns, names, loadings, eigen[order], eigen[order] / max(eigen.sum(), 1e-300))
+    return MixedComponents(id_col, columns, names, loadings, explained * total, explained)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from weft.functions import classify
 from weft.operators import clustering, exam, features, minhash, reduction, reports
 from weft.operators.cleaning import clean, null_counts
-from weft.sources.clicks import raw_clicks, read_table
+from weft.sources.clicks import raw_clicks, read_click_columns, read_clicks_csv, read_field_unquoted, read_table, write_clicks_csv
+from weft.storage import fresh_path, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 EXAMPLE_USER = "u000007"
@@ -20,8 +21,35 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(raw_clicks(spark, sf_dir))
 
 
+def csv_log(spark: SparkSession, sf_dir: str) -> str:
+    """The raw log written as CSV; its path."""
+    path = fresh_path(spark, "clicks-csv")
+    write_clicks_csv(raw_clicks(spark, sf_dir), path)
+    return path
+
+
+def csv_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_clicks_csv(spark, csv_log(spark, sf_dir)).withColumn("datetime", F.expr("try_cast(datetime AS timestamp_ntz)"))
+
+
+def csv_third_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and mean of the third field, durations, between commas of plain lines."""
+    value = F.expr("try_cast(value AS double)")
+    return rounded(read_field_unquoted(spark, csv_log(spark, sf_dir), 3).agg(F.count("*").alias("clicks"), F.avg(value).alias("avg_duration")))
+
+
+def csv_fourth_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent fourth field, titles, between commas of plain lines."""
+    return reports.most_watched_title(read_field_unquoted(spark, csv_log(spark, sf_dir), 4).withColumnRenamed("value", "title"))
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.summary(clicks(spark, sf_dir))
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.top_titles(clicks(spark, sf_dir))
+    """Each user's most clicked titles, written once, as the recommender reads them several times."""
+    return materialise(features.top_titles(clicks(spark, sf_dir)), "titles")
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -34,11 +62,11 @@ def joined(c: str, sep: str = ",") -> Column:
 
 
 def _total(feature: str) -> Query:
-    return lambda spark, d: rounded(features.totals(clicks(spark, d)).select("user_id", feature))
+    return lambda spark, d: rounded(features.totals(summary(spark, d)).select("user_id", feature))
 
 
 def _class(feature: str) -> Query:
-    return lambda spark, d: features.dominant_classes(clicks(spark, d), feature).where(F.col(feature).isNotNull())
+    return lambda spark, d: features.dominant_classes(summary(spark, d), feature).where(F.col(feature).isNotNull())
 
 
 def user_features(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +118,7 @@ def kmeans_update_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def famd_model(spark: SparkSession, d: str) -> tuple[reduction.MixedComponents, DataFrame]:
-    rows = imputed(spark, d).persist()
+    rows = materialise(imputed(spark, d), "features")
     categorical = ["favourite_genre", *features.CLASSES]
     numeric = [c for c in features.FEATURES if c not in categorical]
     return reduction.fit(rows, "user_id", numeric, categorical), rows
@@ -107,7 +135,7 @@ def famd_eigenvalues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def user_points(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.points_of(famd(spark, d), "user_id", ["pc0", "pc1"])
+    return materialise(clustering.points_of(famd(spark, d), "user_id", ["pc0", "pc1"]), "points")
 
 
 def _fit(init: str) -> Query:
@@ -128,7 +156,7 @@ def component_scatter(spark: SparkSession, d: str) -> DataFrame:
 
 def centroid_scatter(spark: SparkSession, d: str) -> DataFrame:
     """The users in the plane with their clusters, and the centroids among them."""
-    points = user_points(spark, d).persist()
+    points = user_points(spark, d)
     found = clustering.kmeans(points, init="k-means++")
     plane = lambda rows, v: rows.select("cluster", F.col(v)[0].alias("pc0"), F.col(v)[1].alias("pc1"), F.lit(v == "centroid").alias("is_centroid"))
     return plane(found.predict(points), "features").unionByName(plane(clustering.centroid_table(spark, found.centroids), "centroid"))
@@ -146,13 +174,20 @@ def labelled_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return points.join(labels, "id")
 
 
+def clustering_report(spark: SparkSession, d: str) -> DataFrame:
+    """(algorithm, iterations, inertia): how the three algorithms converge on the same points."""
+    points = user_points(spark, d)
+    fits = {"k-means": clustering.kmeans(points), "k-means++": clustering.kmeans(points, init="k-means++"), "bisecting": clustering.bisecting(points)}
+    return spark.createDataFrame([(name, f.iterations, f.inertia) for name, f in fits.items()], "algorithm string, iterations int, inertia double")
+
+
 def elbow(spark: SparkSession, d: str) -> DataFrame:
-    curve = clustering.inertia_by_k(user_points(spark, d).persist())
+    curve = clustering.inertia_by_k(user_points(spark, d))
     return curve.crossJoin(clustering.knee(curve))
 
 
 def best_silhouette_k(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.best_k(clustering.silhouette_by_k(user_points(spark, d).persist()))
+    return clustering.best_k(clustering.silhouette_by_k(user_points(spark, d)))
 
 
 def exam_rows(found: DataFrame) -> DataFrame:
@@ -161,18 +196,22 @@ def exam_rows(found: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "raw_clicks": raw_clicks,
+    "csv_clicks": csv_clicks,
+    "csv_third_field": csv_third_field,
+    "csv_fourth_field": csv_fourth_field,
+    "csv_heaviest_user": lambda s, d: rounded(reports.heaviest_user(read_click_columns(s, csv_log(s, d), "duration", "user_id")), 4),
     "clean_clicks": clicks,
     "clean_null_counts": lambda s, d: null_counts(clicks(s, d)).select("column", "non_null"),
     "most_watched_title": lambda s, d: reports.most_watched_title(raw_clicks(s, d)),
     "avg_raw_duration": lambda s, d: rounded(reports.average_duration(raw_clicks(s, d))),
     "heaviest_user": lambda s, d: rounded(reports.heaviest_user(raw_clicks(s, d)), 4),
     "user_title_clicks": lambda s, d: features.user_title_clicks(clicks(s, d)),
-    "top10_titles": titles,
-    "favourite_genre": lambda s, d: features.genre_features(clicks(s, d)).select("user_id", "favourite_genre"),
-    "genre_diversity": lambda s, d: rounded(features.genre_features(clicks(s, d)).select("user_id", "genre_diversity")),
+    "top10_titles": lambda s, d: features.top_titles(clicks(s, d)),
+    "favourite_genre": lambda s, d: features.genre_features(summary(s, d)).select("user_id", "favourite_genre"),
+    "genre_diversity": lambda s, d: rounded(features.genre_features(summary(s, d)).select("user_id", "genre_diversity")),
     **{f: _total(f) for f in features.TOTALS},
     **{f: _class(f) for f in features.CLASSES},
-    "ft_probability_class": lambda s, d: features.totals(clicks(s, d)).select("user_id", classify.follow_through_class(F.col("ft_probability")).alias("ft_probability_class")),
+    "ft_probability_class": lambda s, d: features.totals(summary(s, d)).select("user_id", classify.follow_through_class(F.col("ft_probability")).alias("ft_probability_class")),
     "user_features": lambda s, d: rounded(user_features(s, d)),
     "user_features_imputed": lambda s, d: rounded(imputed(s, d)),
     "pivot_time_day": _profile("most_active_time_day"),
@@ -188,7 +227,8 @@ QUERIES: dict[str, Query] = {
     "jaccard_pairs": lambda s, d: rounded(minhash.jaccard_pairs(titles(s, d))),
     "recommend_all": lambda s, d: rounded(minhash.recommend_all(titles(s, d))),
     "recommend_user": lambda s, d: rounded(minhash.recommend(titles(s, d), EXAMPLE_USER)),
-    "recommend_random": lambda s, d: minhash.recommend(titles(s, d)),
+    "recommend_user_labelled": lambda s, d: rounded(minhash.labelled(minhash.recommend(titles(s, d), EXAMPLE_USER), EXAMPLE_USER)),
+    "recommend_random": lambda s, d: rounded(minhash.recommend(titles(s, d))),
     "lsh_s_curve": lambda s, d: rounded(minhash.s_curve(s)),
     "kmeans_assign_step": kmeans_assign_step,
     "kmeans_update_step": kmeans_update_step,
@@ -197,7 +237,8 @@ QUERIES: dict[str, Query] = {
     "bisecting_fit": _fit("bisecting"),
     "inertia": lambda s, d: rounded(clustering.inertia(labelled_embeddings(s, d))),
     "calinski_harabasz": lambda s, d: rounded(clustering.calinski_harabasz(labelled_embeddings(s, d))),
-    "silhouette_exact": lambda s, d: rounded(clustering.silhouette(labelled_embeddings(s, d))),
+    "silhouette_sampled": lambda s, d: rounded(clustering.silhouette(labelled_embeddings(s, d))),
+    "clustering_report": clustering_report,
     "elbow": elbow,
     "best_silhouette_k": best_silhouette_k,
     "famd": famd,

@@ -125,6 +125,10 @@ _MARKS = "CAST(score AS BIGINT) AS score, array_to_string(marks, ',') AS marks"
 
 ORACLE_SQL: dict[str, str] = {
     "raw_clicks": f"WITH {RAW} SELECT * FROM raw",
+    "csv_clicks": f"WITH {RAW} SELECT * FROM raw",
+    "csv_third_field": f"WITH {RAW} SELECT count(*) AS clicks, round(avg(duration), 6) AS avg_duration FROM raw",
+    "csv_fourth_field": f"WITH {RAW} SELECT title, count(*) AS clicks FROM raw GROUP BY title ORDER BY clicks DESC, title DESC LIMIT 1",
+    "csv_heaviest_user": f"WITH {RAW} SELECT user_id, round(sum(duration), 4) AS total FROM raw GROUP BY user_id ORDER BY sum(duration) DESC, user_id DESC LIMIT 1",
     "clean_clicks": f"WITH {CLEAN} SELECT * FROM clicks",
     "clean_null_counts": f"WITH {CLEAN} "
     + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS non_null FROM clicks" for c in ("datetime", "duration", "title", "genres", "release_date", "movie_id", "user_id")),
@@ -150,6 +154,9 @@ ORACLE_SQL: dict[str, str] = {
     "jaccard_pairs": f"WITH {SIGNATURES} SELECT user_id, similar_user, round(jaccard, 6) AS jaccard FROM jac",
     "recommend_all": f"WITH {SIGNATURES} SELECT user_id, rank, title FROM rec WHERE rank <= 5",
     "recommend_user": f"WITH {SIGNATURES} SELECT user_id, rank, title FROM rec WHERE rank <= 5 AND user_id = '{EXAMPLE_USER}'",
+    "recommend_user_labelled": f"WITH {SIGNATURES} SELECT rank, title AS \"Recommended Movies for User {EXAMPLE_USER}\" FROM rec WHERE rank <= 5 AND user_id = '{EXAMPLE_USER}'",
+    "recommend_random": f"WITH {SIGNATURES} SELECT user_id, rank, title FROM rec WHERE rank <= 5 AND user_id = (SELECT user_id FROM (SELECT DISTINCT user_id FROM top) ORDER BY md5(concat(user_id, '-{DEFAULT.hash_seed}')), user_id LIMIT 1)",
+    "sample_users": f"WITH {CLEAN} SELECT user_id, favourite_genre FROM {_GENRE} ORDER BY substr(md5(concat(user_id, '-42')), 1, 13), user_id LIMIT 10",
     "lsh_s_curve": "SELECT CAST(b AS BIGINT) AS bands, round(i / 99.0::DOUBLE, 6) AS similarity, round(1 - pow(1 - pow(i / 99.0::DOUBLE, 100.0 / b), b), 6) AS probability FROM range(100) r(i) CROSS JOIN (VALUES (5), (20), (25), (50)) v(b)",
     "kmeans_assign_step": f"WITH {_POINTS} SELECT vec_id, CAST(cluster AS BIGINT) AS cluster, round(dist2, 6) AS dist2 FROM a",
     "kmeans_update_step": f"WITH {_POINTS} SELECT CAST(cluster AS BIGINT) AS cluster, CAST(dim AS BIGINT) AS dim, round(avg(v), 6) AS value FROM (SELECT cluster, unnest(x) AS v, unnest(range(0, len(x))) AS dim FROM a) GROUP BY cluster, dim",
@@ -157,7 +164,7 @@ ORACLE_SQL: dict[str, str] = {
     "calinski_harabasz": f"""WITH {_POINTS}, g AS (SELECT dim, avg(v) AS gm FROM flat GROUP BY dim),
 b AS (SELECT sum(n * (m - gm) * (m - gm)) AS b, count(DISTINCT label) AS k FROM mean JOIN g USING (dim))
 SELECT round(b * ((SELECT count(*) FROM p) - k) / (w * (k - 1)), 6) AS calinski_harabasz FROM b, within""",
-    "silhouette_exact": f"""WITH {_POINTS}, dist AS (SELECT q.vec_id, q.label AS own, r.label AS other, sum(sqrt(list_sum(list_transform(list_zip(q.x, r.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS s, count(*) AS n FROM p q CROSS JOIN p r GROUP BY ALL),
+    "silhouette_sampled": f"""WITH {_POINTS}, sampled AS (SELECT * FROM p ORDER BY md5(concat(vec_id, '-42')), vec_id LIMIT 10000), dist AS (SELECT q.vec_id, q.label AS own, r.label AS other, sum(sqrt(list_sum(list_transform(list_zip(q.x, r.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS s, count(*) AS n FROM sampled q CROSS JOIN sampled r GROUP BY ALL),
 ab AS (SELECT vec_id, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM dist GROUP BY vec_id)
 SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""",
     "exam_best_score": f"WITH {_EXAMS} SELECT {_MARKS}, CAST(CASE WHEN len(marks) % 2 = 0 THEN score ELSE 0 END + coalesce(list_sum(list_reverse_sort(marks)[1 : (len(marks) + 1) // 2]), 0) - coalesce(list_sum(list_sort(marks)[1 : len(marks) // 2]), 0) AS BIGINT) AS best FROM e",

@@ -31,16 +31,24 @@ def read_clicks_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=RAW_SCHEMA, quote='"', escape='"', enforceSchema=True).drop("_row")
 
 
+def read_click_columns(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Some columns of the click log, found by name with quoted fields minded; the scan parses these only."""
+    return read_clicks_csv(spark, path).select(*columns)
+
+
 def read_field_unquoted(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """The ``number``-th (from 1) piece of each line between commas, quotes not minded, without the header line."""
-    lines = spark.read.text(path)
-    header = lines.limit(1).collect()
-    if not header:
-        return lines
-    lines = lines.where(F.col("value") != header[0][0])
+    """The ``number``-th (from 1) piece of each line between commas, quotes not minded, without each file's first line."""
+    # a separator that no text holds, and no quotes: a row is a whole line, and the reader skips first lines itself
+    lines = spark.read.csv(path, schema="value string", sep="\x01", quote="", header=True, enforceSchema=True)
     return lines.select(F.try_element_at(F.split("value", ","), F.lit(number)).alias("value"))
 
 
+def write_clicks_csv(clicks: DataFrame, path: str) -> None:
+    """The raw log as CSV with a header, a row number first and quoted fields, as ``read_clicks_csv`` takes it."""
+    columns = [F.col(c).cast("string").alias(c) if c in ("datetime", "release_date") else F.col(c) for c in RAW_SCHEMA.names[1:]]
+    clicks.select(F.monotonically_increasing_id().alias("_row"), *columns).write.csv(path, header=True, quote='"', escape='"')
+
+
 def raw_clicks(spark: SparkSession, sf_dir: str, config: Config = DEFAULT) -> DataFrame:
     """A click log with the raw schema from ``events`` and ``part``: times spread over 12 months of 30 days, with
     negative durations and missing tokens mixed in."""
