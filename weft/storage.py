@@ -24,8 +24,42 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/weft-{spark.sparkContext.applicationId}"
 
 
+#: The open scopes, the innermost last.
+_scopes: list[Scratch] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].paths.add(path)
+    return path
+
+
+class Scratch:
+    """A scope that deletes what was written to the shared folder inside it, but for tables that it is told to keep.
+
+    Results are read lazily, so compute or write them before the scope ends, or keep what they read.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def __enter__(self) -> Scratch:
+        _scopes.append(self)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Leaves the files of the tables; they belong to the scope around this one."""
+        for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+            kept = {p for p in self.paths if path.endswith(p.split("://", 1)[-1].lstrip("/"))}
+            self.paths -= kept
+            if len(_scopes) > 1:
+                _scopes[-2].paths |= kept
+
+    def __exit__(self, *error) -> None:
+        _scopes.remove(self)
+        for path in self.paths:
+            remove(path, self.spark)
 
 
 #: Spark's own setting: the shuffle files of a query go when it ends. Nothing reads them later where the result is a written table.
