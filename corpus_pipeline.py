@@ -1,8 +1,11 @@
 """Corpus pipeline: quality, toxicity, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before has kept; the
-stages but the last return the columns of ``docs``. Null texts are taken as empty; an empty table
-passes through; extra columns stay, and columns of any name but those read are never touched.
+stages but the last return the columns of ``docs``. Null texts are taken as empty, very long ones whole;
+rows with a null id are judged by their texts and never dropped as copies; a quality of one half stays;
+of rows alike the one with the smallest id stays, of those with equal ids the smallest text; repeated
+rows are copies; an empty table passes through; extra columns stay, and columns of any name but those
+read are never touched.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import ngram_join, packing, quality, token_counts, toxicity
-from weft.llm._common import materialise, table, text_of
+from weft.llm._common import Scratch, materialise, remove, table, text_of
 
 #: Near duplicates: five-word shingles and a similarity of 0.8 or more.
 NEAR = ngram_join.JoinSpec(width=5, num=80)
@@ -70,7 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage has written besides its result, and its input, is deleted behind it."""
+    docs = source = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with Scratch(spark) as steps:
+            out = materialise(stage(spark, docs, sf_dir), name)
+            steps.keep(out)
+        if docs is not source:
+            remove(docs, spark)
+        docs = out
     return docs

@@ -478,6 +478,100 @@ def test_pipeline_stages(spark, tables):
     assert found[0] > 0.97 and found[1] < 0.1
 
 
+def shingle_set(text, width):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def least_padding(lengths, buckets):
+    """The least padding of at most so many buckets, by trying every start of every last bucket."""
+    from functools import cache
+
+    values = sorted(set(lengths))
+    count = {v: lengths.count(v) for v in values}
+
+    @cache
+    def best(j, k):
+        if j == 0:
+            return 0
+        if k == 0:
+            return float("inf")
+        return min(best(i, k - 1) + sum(count[v] * (values[j - 1] - v) for v in values[i:j]) for i in range(j))
+
+    return best(len(values), buckets)
+
+
+def test_pipeline_against_a_plain_one(spark):
+    """The rows of run() against loops over the documents: models score texts one by one, all pairs are compared, bounds are tried."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    model = quality.train(docs, labels)
+    kept = {i: t for i, t in rows.items() if model.score(Indicators().of(t.encode())) >= 0.5}
+    model = toxicity.train(docs.where(F.col("doc_id").isin(list(kept))), labels)
+    kept = {i: t for i, t in kept.items() if model.probabilities(Beginnings().of(t.encode()))[0] < model.limit}
+    sets, top = {i: shingle_set(t, 5) for i, t in kept.items()}, {i: i for i in kept}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in kept:
+        for b in kept:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    kept = {i: t for i, t in kept.items() if find(i) == i}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in kept.items()}
+
+    found = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert {i: r.length for i, r in found.items()} == lengths and 20 < len(found) < len(rows)
+    assert sum(r.padded_length - r.length for r in found.values()) == least_padding(list(lengths.values()), 16)
+    batches = {}
+    for r in found.values():
+        batches.setdefault((r.bucket, r.batch), []).append(r)
+    for batch in batches.values():
+        assert sorted(r.slot for r in batch) == list(range(len(batch)))
+        assert len({r.padded_length for r in batch}) == 1 and len(batch) * batch[0].padded_length <= 65_536
+
+
+DIRTY = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, grade string, length string, batch string, _row string"
+
+
+def test_stages_handle_dirty_rows(spark):
+    """Null and empty texts, null and repeated ids and clashing columns pass through every stage with their columns."""
+    import corpus_pipeline
+
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).collect()
+    rows = [(r.doc_id, r.text, r.lang, None, r.n_chars, *["clash"] * 5) for r in some]
+    rows += [(None, None, *[None] * 8), (None, "", *[None] * 8), (1000, None, *[None] * 8), (1001, " \n", *[None] * 8), (1001, " \n", *[None] * 8), (1002, "x" * 200_000, *["c"] * 2, None, *["c"] * 5)]
+    docs = spark.createDataFrame(rows, DIRTY)
+    for name, stage in corpus_pipeline.STAGES:
+        for frame, most in ((docs, len(rows)), (docs.where("n_chars < 0"), 0)):
+            found = stage(spark, frame, "/root/testdata/sf0.001")
+            got = found.collect()
+            assert len(got) <= most and (name == "packing" or found.columns == docs.columns), name
+            if name != "packing":
+                assert {repr(tuple(r)) for r in got} <= {repr(r) for r in rows}
+            elif most:
+                assert len(got) == most
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     import corpus_pipeline
 

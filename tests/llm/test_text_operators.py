@@ -64,6 +64,15 @@ def test_cache_encodes_misses_only_and_is_appended_to(spark, tmp_path):
     assert spark.read.parquet(f"{path}-2").count() == 3
 
 
+def test_null_and_repeated_ids_each_get_a_row(spark, processor):
+    rows = [(None, "a b"), (None, None), (4, "a b"), (4, "a b"), (4, "c" * 100_000), (5, "")]
+    frame = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "doc_id bigint, text string, n_tokens string, content_digest double")
+    counts = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame, WORDS).collect()), key=repr)
+    assert counts == sorted(((i, len(t or ""), n) for (i, t), n in zip(rows, library_counts([t for _, t in rows]))), key=repr)
+    found = sorted(((r.doc_id, r.n_tokens) for r in sentencepiece_table.encode_digests(frame, PIECES).collect()), key=repr)
+    assert found == sorted(((i, len(processor.encode(t or "")) + 1) for i, t in rows), key=repr)
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [])
     assert token_counts.count_tokens(empty, WORDS).count() == 0

@@ -3,63 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.storage import Scratch, fresh_path, materialise, remove, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary
-    folder is taken, in local mode only (one machine, as in tests); elsewhere that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/weft-{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-#: Spark's own setting: the shuffle files of a query go when it ends. Nothing reads them later where the result is a written table.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
-
-    The shuffle files of the write go with its end; the session's setting for other queries stays as it is.
-    """
-    spark = df.sparkSession
-    path, before = fresh_path(spark, label), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df_or_path, spark: SparkSession) -> None:
-    """Delete a materialised step once nothing reads it any more."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else sorted({f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()})
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-
+__all__ = ["Scratch", "bounded_batches", "fresh_path", "hash_sample", "kept_by_worker", "materialise", "remove", "shared_root", "table", "text_of"]
 
 #: Bytes of a batch between Spark and Python: a batch of long rows is held several times over on either side.
 BATCH_BYTES = 4 << 20

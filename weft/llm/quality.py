@@ -5,9 +5,11 @@ log-count ratios, brought to length one, and separated by a linear model with hi
 dual coordinate descent on a bounded, hash-chosen sample of labelled rows. A logistic curve, fitted
 on a part of the sample that the linear model has not seen, turns margins into scores.
 
-Defined cases: null and empty texts have no indicators and score by the bias alone; without labelled
-rows, or with one class only, every score is the smoothed share of label 1; null ids are never held
-out and never learnt from; repeated rows each get a row; extra columns are ignored.
+Defined cases: null and empty texts have no indicators and score by the bias alone; very long texts and
+words are taken whole; without labelled rows, or with one class only, every score is the smoothed share
+of label 1; a score of one half is predicted 1; an id labelled more than once has its smallest label;
+null ids are never held out and never learnt from; repeated rows each get a row; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

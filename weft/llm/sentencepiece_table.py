@@ -4,7 +4,7 @@ For every prefix of a piece of text there is exactly one last token in the encod
 An automaton over the vocabulary finds the tokens that end at each place; a token is the last one if
 it starts the text or is compatible with the last token of the prefix before it, that is if the two
 side by side are what the merges would leave of their joined text. The ids are then read backwards
-through the table. Work is linear in the text, and nothing is merged at run time.
+through the table. Work is linear in the text; nothing but runs of word-start marks is merged at run time.
 
 Compatibility: every token has one last merge (left part, right part). Undoing the later merge of
 the two tokens, step by step, shows the parts that met at the border and when; had they formed a
@@ -13,11 +13,12 @@ from left to right.
 
 No piece holds a word-start mark behind another character, nor any unknown character, and in most
 vocabularies none goes on from a letter to another sign, so texts are cut there first and the ids of
-recent cuts are remembered in a bounded table. Runs of word-start
-marks share one score below all others and are merged last, from the left.
+recent cuts are remembered in a bounded table. Pieces of word-start marks alone share one score below
+all others, so compatibility of two doesn't follow from their parts: runs of marks are merged last, from
+the left, on a heap, and results for runs of up to 4,096 are remembered.
 
 Defined cases: null text is the empty text (only the end id); null ids stay null; repeated rows each
-get a row; empty tables give empty results; extra columns are ignored; texts are taken whole.
+get a row; empty tables give empty results; extra columns are ignored; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import bounded_batches, text_of
+from weft.llm._common import bounded_batches, kept_by_worker, text_of
 from weft.llm.token_counts import grouped
 
 MARK = "▁"
@@ -286,14 +287,8 @@ def _text(data: bytearray) -> str:
         return "".join(out)
 
 
-_tables: dict[str, PieceTable] = {}
-
-
 def piece_table(path: str) -> PieceTable:
-    """One for each Python worker and model."""
-    if path not in _tables:
-        _tables[path] = PieceTable(path)
-    return _tables[path]
+    return kept_by_worker(f"pieces of {path}", lambda: PieceTable(path))
 
 
 def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

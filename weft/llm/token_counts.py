@@ -9,8 +9,9 @@ go, and A-Z are lower-cased only in pure ASCII texts without ``<|`` for a tokeni
 itself. Encoding works on pieces between ASCII white space, which no pre-token crosses, and remembers
 the pieces' counts in a bounded table.
 
-Defined cases: null text counts as empty (0 tokens); null ids stay null; repeated rows each get a
-row; empty tables give empty results; extra columns are ignored.
+Defined cases: null text counts as empty (0 tokens); very long texts are taken whole, and alone where
+they exceed a group of texts; null ids stay null; repeated rows each get a row; a content stored twice
+counts once; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
