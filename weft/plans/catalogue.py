@@ -117,6 +117,17 @@ def kmeans_update_step(spark: SparkSession, d: str) -> DataFrame:
     return rounded(clustering.centroid_table(spark, moved).select("cluster", F.posexplode("centroid").alias("dim", "value")))
 
 
+def _embedding_fit(init: str) -> Query:
+    """Seeding and five of Lloyd's steps on the embeddings, which SQL can follow."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        points = embedding_points(spark, d)
+        found = clustering.kmeans(points, init=init, max_iter=5, tol=0.0)
+        return rounded(found.predict(points).select(F.col("id").alias("vec_id"), "cluster", "dist2"))
+
+    return run
+
+
 def famd_model(spark: SparkSession, d: str) -> tuple[reduction.MixedComponents, DataFrame]:
     rows = materialise(imputed(spark, d), "features")
     categorical = ["favourite_genre", *features.CLASSES]
@@ -232,6 +243,8 @@ QUERIES: dict[str, Query] = {
     "lsh_s_curve": lambda s, d: rounded(minhash.s_curve(s)),
     "kmeans_assign_step": kmeans_assign_step,
     "kmeans_update_step": kmeans_update_step,
+    "kmeans_embeddings": _embedding_fit("random"),
+    "kmeanspp_embeddings": _embedding_fit("k-means++"),
     "kmeans_fit": _fit("random"),
     "kmeanspp_fit": _fit("k-means++"),
     "bisecting_fit": _fit("bisecting"),
