@@ -113,6 +113,13 @@ def test_mixed_components_against_numpy(spark):
         assert np.allclose(np.abs(mine), np.abs(expected), atol=1e-8)
 
 
+def test_mixed_components_refuse_too_many_categories(spark):
+    frame = spark.createDataFrame([(str(i), float(i), f"c{i}", "d") for i in range(30)], "id string, x double, c string, d string")
+    with pytest.raises(ValueError, match="c has more than 20"):
+        reduction.fit(frame, "id", ["x"], ["c", "d"], most_categories=20)
+    assert len(reduction.fit(frame, "id", ["x"], ["c", "d"]).names) == 32
+
+
 def exhaustive(score, marks):
     if not marks:
         return score

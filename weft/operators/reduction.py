@@ -37,6 +37,18 @@ class MixedComponents:
         return spark.createDataFrame(list(rows), "component int, eigenvalue double, explained double, cumulative double")
 
 
+def categories(rows: DataFrame, columns: list[str], most: int) -> dict[str, list[tuple[str, int]]]:
+    """(value, rows) of each column, counted in one pass; a column with more than ``most`` values is an error, as the model has a column for each."""
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))).where("value IS NOT NULL")
+    found: dict[str, list[tuple[str, int]]] = {}
+    for column, value, n in long.groupBy("column", "value").agg(F.count("*").alias("n")).limit(len(columns) * most + 1).collect():
+        found.setdefault(column, []).append((value, n))
+    for column, values in found.items():
+        if len(values) > most:
+            raise ValueError(f"{column} has more than {most} categories")
+    return found
+
+
 def fit(rows: DataFrame, id_col: str, numeric: list[str], categorical: list[str], components: int = 2, most_categories: int = 500) -> MixedComponents:
     """Null numbers count as the mean, null categories as no category."""
     facts = rows.agg(
@@ -50,11 +62,9 @@ def fit(rows: DataFrame, id_col: str, numeric: list[str], categorical: list[str]
         if facts[f"s_{c}"]:
             columns.append(F.coalesce((F.col(c) - facts[f"m_{c}"]) / facts[f"s_{c}"], F.lit(0.0)))
             names.append(c)
+    counted = categories(rows, categorical, most_categories) if categorical else {}
     for c in categorical:
-        counts = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).limit(most_categories + 1).collect()
-        if len(counts) > most_categories:
-            raise ValueError(f"{c} has more than {most_categories} categories")
-        for value, k in sorted(counts):
+        for value, k in sorted(counted.get(c, [])):
             share = k / n
             columns.append(F.when(F.col(c) == value, 1.0).otherwise(0.0) / float(np.sqrt(share)) - float(np.sqrt(share)))
             names.append(f"{c}={value}")
