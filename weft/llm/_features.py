@@ -148,6 +148,25 @@ def indicators(kind: str) -> Indicators | Beginnings:
     return kept_by_worker(kind, {"n-grams": Indicators, "beginnings": Beginnings}[kind])
 
 
+def pieces(indptr: np.ndarray, most: int = 1 << 20):
+    """(first row, row behind the last, place of each indicator's row) in runs of rows with about ``most`` indicators, as whole-sample copies would fill the driver."""
+    start = 0
+    while start < len(indptr) - 1:
+        end = max(start + 1, int(np.searchsorted(indptr, indptr[start] + most, "right")) - 1)
+        yield start, end, np.repeat(np.arange(end - start), np.diff(indptr[start : end + 1]))
+        start = end
+
+
+def class_counts(indptr: np.ndarray, index: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each indicator the rows among two sets of rows (masks) that have it."""
+    out = np.zeros((2, SIZE), np.int64)
+    for a, b, row in pieces(indptr):
+        part = index[indptr[a] : indptr[b]]
+        for k, rows in enumerate((first, second)):
+            out[k] += np.bincount(part[rows[a:b][row]], minlength=SIZE)
+    return out[0], out[1]
+
+
 def in_fold(id_col: str, fold: int, folds: int = 3) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 

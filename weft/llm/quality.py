@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._common import bounded_batches, text_of
-from weft.llm._features import SIZE, in_fold, indicators, labelled_sample
+from weft.llm._features import SIZE, class_counts, in_fold, indicators, labelled_sample, pieces
 
 
 @dataclass
@@ -40,17 +40,18 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
 
 
-def dual_coordinate_descent(indptr, index, value, y, *, c: float, epochs: int, seed: int = 7) -> np.ndarray:
-    """Weights of the L2-regularised linear model with hinge loss; y is -1 or 1; the last weight is the bias."""
-    n, w, bias = len(y), np.zeros(SIZE), 0.0
-    alpha = np.zeros(n)
+def dual_coordinate_descent(indptr, index, value, y, *, c: float, epochs: int, rows: np.ndarray | None = None, seed: int = 7) -> np.ndarray:
+    """Weights of the L2-regularised linear model with hinge loss, of the rows (places; all by default); y is -1 or 1; the last weight is the bias."""
+    rows = np.arange(len(y)) if rows is None else rows
+    n, w, bias = len(rows), np.zeros(SIZE), 0.0
+    alpha = np.zeros(len(y))
     square = np.array([(value[a:b] ** 2).sum() for a, b in zip(indptr, indptr[1:])]) + 1.0
-    share = {s: n / (2 * max(1, (y == s).sum())) for s in (-1, 1)}  # both classes weigh the same
+    share = {s: n / (2 * max(1, (y[rows] == s).sum())) for s in (-1, 1)}  # both classes weigh the same
     most = np.array([c * share[s] for s in y])
     rng = np.random.RandomState(seed)
     for _ in range(epochs):
         worst = 0.0
-        for i in rng.permutation(n):
+        for i in rows[rng.permutation(n)]:
             a, b = indptr[i], indptr[i + 1]
             at, x = index[a:b], value[a:b]
             gradient = y[i] * ((w[at] * x).sum() + bias) - 1
@@ -72,23 +73,19 @@ def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, c: float =
     if n == 0 or good in (0, n):
         share = (good + 1) / (n + 2)
         return QualityModel(np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0, float(np.log(share / (1 - share))))
-    row = np.repeat(np.arange(n), np.diff(indptr))
-    first = np.bincount(index[label[row] == 1], minlength=SIZE)
-    second = np.bincount(index[label[row] != 1], minlength=SIZE)
+    first, second = class_counts(indptr, index, label == 1, label != 1)
     p, q = first + smooth, second + smooth
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     ratio[first + second < least_rows] = 0.0
-    value = ratio[index]
-    length = np.sqrt(np.maximum(np.add.reduceat(np.append(value**2, 0.0), np.minimum(indptr[:-1], len(value))), 0))
-    length[np.diff(indptr) == 0] = 0
-    value = value / np.maximum(length, 1e-12)[row]
+    value = ratio.astype(np.float32)[index]
+    for a, b, row in pieces(indptr):
+        part = value[indptr[a] : indptr[b]]
+        part /= np.maximum(np.sqrt(np.bincount(row, part.astype(np.float64) ** 2, b - a)), 1e-12)[row]
     y = np.where(label == 1, 1, -1)
 
     learnt = np.arange(n) % 5 != 0  # the rest is for the curve
-    keep = learnt[row]
-    sizes = np.diff(indptr)[learnt]
-    w = dual_coordinate_descent(np.concatenate([[0], np.cumsum(sizes)]), index[keep], value[keep], y[learnt], c=c, epochs=epochs)
-    margin = np.bincount(row, w[index] * value, n) + w[-1]
+    w = dual_coordinate_descent(indptr, index, value, y, c=c, epochs=epochs, rows=np.flatnonzero(learnt))
+    margin = np.concatenate([np.bincount(row, w[index[indptr[a] : indptr[b]]] * value[indptr[a] : indptr[b]], b - a) for a, b, row in pieces(indptr)]) + w[-1]
     slope, offset = logistic_curve(margin[~learnt], label[~learnt] == 1) if (~learnt).sum() > 20 else (2.0, 0.0)
     return QualityModel(w[:-1] * ratio, ratio**2, float(w[-1]), slope, offset)
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm._common import bounded_batches, text_of
-from weft.llm._features import SIZE, indicators, labelled_sample
+from weft.llm._features import SIZE, class_counts, indicators, labelled_sample, pieces
 
 GRADES = 3
 #: Share of clean rows that may be judged toxic, parts of the sample, and bounds of the limit. A missed toxic row costs more than a look at a clean one.
@@ -58,10 +58,10 @@ class SeverityModel:
         return 1 / (1 + np.exp(-np.clip(total - self.thresholds, -30, 30)))
 
 
-def z_scores(index: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def z_scores(indptr: np.ndarray, index: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each indicator the signed root of the likelihood ratio against no link with toxic rows, and the number of rows."""
-    a, b = (np.bincount(index[toxic[row] == t], minlength=SIZE).astype(float) for t in (True, False))
-    n, m = float(toxic.sum()), float((~toxic).sum())
+    a, b = (c.astype(float) for c in class_counts(indptr, index, toxic, clean))
+    n, m = float(toxic.sum()), float(clean.sum())
     part = lambda seen, expected: seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))
     share = n / (n + m)
     ratio = part(a, (a + b) * share) + part(b, (a + b) * (1 - share))
@@ -69,10 +69,11 @@ def z_scores(index: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> tuple[np.
     return np.sign(a / n - b / m) * np.sqrt(np.maximum(2 * ratio, 0)), a + b
 
 
-def grades(index: np.ndarray, row: np.ndarray, toxic: np.ndarray, z: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def grades(indptr: np.ndarray, index: np.ndarray, toxic: np.ndarray, z: np.ndarray) -> np.ndarray:
     """0 for rows that aren't toxic; 1 to 3 by thirds of the density of markers for those that are."""
-    marker = z > 4.0
-    density = np.bincount(row, marker[index], len(toxic)) / np.maximum(np.sqrt(sizes), 1)
+    marker, sizes = z > 4.0, np.diff(indptr)
+    found = np.concatenate([np.bincount(row, marker[index[indptr[a] : indptr[b]]], b - a) for a, b, row in pieces(indptr)])
+    density = found / np.maximum(np.sqrt(sizes), 1)
     cuts = np.quantile(density[toxic], [1 / 3, 2 / 3])
     return np.where(toxic, 1 + np.searchsorted(cuts, density, "left"), 0)
 
@@ -100,15 +101,13 @@ def loss_and_gradient(theta: np.ndarray, r: np.ndarray, f: np.ndarray, grade: np
 def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, **options) -> SeverityModel:
     """The model of all rows, with a limit from models that haven't seen the rows that they judge."""
     n, toxic = len(label), label == 1
-    model = fit_grades(indptr, index, label, **options)
+    model = fit_grades(indptr, index, label, np.ones(n, bool), **options)
     if n < 10 * FOLDS or toxic.sum() < FOLDS or (~toxic).sum() < FOLDS:
         return model
-    sizes = np.diff(indptr)
-    row = np.repeat(np.arange(n), sizes)
     chance = np.empty(n)
     for part in range(FOLDS):
         mine = np.arange(n) % FOLDS == part
-        rest = fit_grades(np.concatenate([[0], np.cumsum(sizes[~mine])]), index[~mine[row]], label[~mine], **options)
+        rest = fit_grades(indptr, index, label, ~mine, **options)
         for i in np.flatnonzero(mine):
             chance[i] = rest.probabilities(index[indptr[i] : indptr[i + 1]])[0]
     clean = np.sort(chance[~toxic])[::-1]
@@ -117,22 +116,26 @@ def fit(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, **options) ->
     return model
 
 
-def fit_grades(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, *, least_z: float = 5.0, least_share: float = 0.3, least_rows: int = 4, most_features: int = 4096, steps: int = 600, ridge: float = 1.0) -> SeverityModel:
-    n, toxic = len(label), label == 1
-    if n == 0 or toxic.all() or not toxic.any():
-        share = (toxic.sum() + 1) / (n + 2)
+def fit_grades(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, rows: np.ndarray, *, least_z: float = 5.0, least_share: float = 0.3, least_rows: int = 4, most_features: int = 4096, steps: int = 600, ridge: float = 1.0) -> SeverityModel:
+    """Thresholds and weights from the rows of a mask."""
+    toxic, clean = rows & (label == 1), rows & (label != 1)
+    if not toxic.any() or not clean.any():
+        share = (toxic.sum() + 1) / (rows.sum() + 2)
         return SeverityModel(np.empty(0, np.int64), np.empty(0), np.array([np.log((1 - share) / share), *[30.0] * (GRADES - 1)]))
-    sizes = np.diff(indptr)
-    row = np.repeat(np.arange(n), sizes)
-    z, seen = z_scores(index, row, toxic)
-    grade = grades(index, row, toxic, z, sizes)
+    z, seen = z_scores(indptr, index, toxic, clean)
+    grade = grades(indptr, index, toxic, z)[rows]
     z[seen < least_rows] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:most_features]
     feature = np.sort(best[np.abs(z[best]) >= max(least_z, least_share * np.abs(z[best[0]]))])
-    place = np.full(SIZE, -1)
+    place = np.full(SIZE, -1, np.int32)
     place[feature] = np.arange(len(feature))
-    used = place[index] >= 0
-    r, f = row[used], place[index[used]]
+    number = np.cumsum(rows) - 1  # of a row among those of the mask
+    found = []
+    for a, b, row in pieces(indptr):
+        at = place[index[indptr[a] : indptr[b]]]
+        used = (at >= 0) & rows[a:b][row]
+        found.append((number[a:b][row[used]], at[used]))
+    r, f = (np.concatenate(x) for x in zip(*found))
 
     w = np.zeros(len(feature))
     share = np.array([(grade > k).mean() for k in range(GRADES)])
