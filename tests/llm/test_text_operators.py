@@ -45,11 +45,16 @@ def test_token_counts_of_any_text(texts):
 
 def test_remembered_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "MEMO_ENTRIES", 50)
-    counter, rng = token_counts.PieceCounter(WORDS), random.Random(3)
-    for _ in range(40):
-        texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 60) + "z" * rng.randint(0, 30) for _ in range(20)) for _ in range(3)]
+    monkeypatch.setattr(token_counts, "RELEARN_WORDS", 200)
+    counter, rng, cleared = token_counts.PieceCounter(WORDS), random.Random(3), 0
+    for k in range(60):
+        letters = "abcdefgh" if k < 30 else "éßijk"  # other texts come
+        texts = [" ".join(rng.choice(letters) * rng.randint(1, 60) + "z" * rng.randint(0, 30) for _ in range(20)) + " <|endoftext|> " for _ in range(3)]
+        before = len(counter.memo)
         assert counter.count([t.encode() for t in texts]) == library_counts(texts)
-        assert len(counter.memo) <= 50 and len(counter.older) <= 50 + 60 and all(len(w) <= 64 for w in {*counter.memo, *counter.older})
+        cleared += len(counter.memo) < before
+        assert len(counter.memo) <= 50 and all(len(w) <= 64 for w in counter.memo)
+    assert cleared
 
 
 def test_cache_encodes_misses_only_and_is_appended_to(spark, tmp_path):

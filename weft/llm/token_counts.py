@@ -6,8 +6,8 @@ cache, and every row takes its count from there.
 
 The normalisation never changes a count: runs of ASCII white space become one blank and end blanks
 go, and A-Z are lower-cased only in pure ASCII texts without ``<|`` for a tokenizer that lower-cases
-itself. Encoding works on pieces between ASCII white space, which no pre-token crosses, and remembers
-the pieces' counts in a bounded table.
+itself. Encoding works on pieces between ASCII white space, which no pre-token crosses: counts of the
+first pieces are remembered in a bounded table, and those of a text that aren't in it are encoded as one.
 
 Defined cases: null text counts as empty (0 tokens); very long texts are taken whole, and alone where
 they exceed a group of texts; null ids stay null; repeated rows each get a row; a content stored twice
@@ -35,8 +35,10 @@ CACHE_SCHEMA = T.StructType(
         T.StructField("n_tokens", T.LongType()),
     ]
 )
-#: Pieces in each of the two generations that a worker remembers, and bytes of the longest of them.
-MEMO_ENTRIES, MEMO_KEY_BYTES, GROUP_BYTES = 200_000, 64, 1 << 20
+#: Pieces that a worker remembers, bytes of the longest of them, and bytes of the texts that are counted together.
+MEMO_ENTRIES, MEMO_KEY_BYTES, GROUP_BYTES = 300_000, 64, 1 << 20
+#: A full memory is learnt anew if it lacks more than this share of so many words.
+RELEARN_WORDS, RELEARN_SHARE = 1_000_000, 0.3
 
 
 def tokenizer_digest(path: str) -> str:
@@ -75,7 +77,7 @@ class PieceCounter:
             spec = json.load(f)
         self.by_piece, self.lower = splits_at_space(spec), lower_cases(spec)
         self.memo: dict[bytes, int] = {}
-        self.older: dict[bytes, int] = {}
+        self.seen = self.missed = 0
 
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,23 +87,38 @@ class PieceCounter:
             return self.encode([t.decode() for t in texts])
         if self.lower:
             texts = [t.lower() if t.isascii() and b"<|" not in t else t for t in texts]
-        parts = [t.split() for t in texts]
-        memo, older = self.memo, self.older
-        missing = [w for w in set(chain.from_iterable(parts)) if w not in memo]
-        memo.update((w, older[w]) for w in missing if w in older)
-        missing = [w for w in missing if w not in memo]
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            memo.update(zip(some, self.encode([w.decode() for w in some])))
-        out = [sum(map(memo.__getitem__, p)) for p in parts]
-        for w in missing:
-            if len(w) > MEMO_KEY_BYTES:
-                del memo[w]
-        if len(memo) > MEMO_ENTRIES:  # pieces that come again move on, the others are forgotten with the older generation
-            self.memo, self.older = {}, memo
-        return out
-
-
+        totals, rest = [], []
+        for t in texts:
+            words = t.split()
+            found = list(map(self.memo.get, words))
+            unknown, at = [], -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                unknown.append(words[at])
+            totals.append(sum(filter(None, found)))
+            rest.append(unknown)
+            self.seen += len(words)
+            self.missed += len(unknown)
+        if len(self.memo) < MEMO_ENTRIES:
+            self.learn(rest)
+            for k, words in enumerate(rest):
+                totals[k] += sum(filter(None, map(self.memo.get, words)))
+            rest = [[w for w in words if w not in self.memo] for words in rest]
+        elif self.seen > RELEARN_WORDS:
+            if self.missed > RELEARN_SHARE * self.seen:  # other texts than those that it has learnt from
+                self.memo.clear()
+            self.seen = self.missed = 0
+        some = [k for k, words in enumerate(rest) if words]
+        for k, n in zip(some, self.encode([b" ".join(rest[k]).decode() for k in some])):
+            totals[k] += n
+        return totals
+
+    def learn(self, words: list[list[bytes]]) -> None:
+        """Remembers the counts of pieces, as many as there is room for."""
+        new = list({w for some in words for w in some if len(w) <= MEMO_KEY_BYTES})[: MEMO_ENTRIES - len(self.memo)]
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            self.memo.update(zip(some, self.encode([w.decode() for w in some])))
 
 
 def grouped(texts: list[bytes], most: int = GROUP_BYTES):
