@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +32,21 @@ _kept: dict[str, object] = {}
 def kept_by_worker(name: str, make):
     """What a Python worker keeps between batches and tasks: the last such object only, as workers serve one stage after another."""
     if name not in _kept:
-        _kept.clear()
-        gc.collect()
+        if _kept:
+            _kept.clear()
+            give_back()
         _kept[name] = make()
     return _kept[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hash_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
     """The ``most`` rows with the smallest hashes of the columns ``by`` (then the columns themselves).
 
