@@ -8,7 +8,7 @@ from the pivot, no vector at distances [lo, hi] is nearer than max(d - hi, lo -
 score from above.
 
 A first pass searches the group nearest to each query and so finds a score that its k best reach. The
-second one gives each query the groups whose bound isn't below that score. Queries go in blocks of those
+second one gives each query the other groups whose bound isn't below that score. Queries go in blocks of those
 with neighbouring first groups, and a block and a group that any of its queries needs are one unit of
 work, brought together by one join for all blocks. In a unit each query takes annuli outward from its
 own distance, nearest first, and stops at the first whose bound is below its k-th score so far; the
@@ -171,11 +171,8 @@ class Unit:
     y: np.ndarray
     away: np.ndarray
 
-    def search(self, k: int, annulus: int, most: float, exact: bool, nearest_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-        """Places of queries and rows with their scores, the scores that each query's k best reach, and the number of scored pairs.
-
-        Each query takes annuli outward from its distance; with ``nearest_only`` it stops once k rows are met.
-        """
+    def search(self, k: int, annulus: int, most: float, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Places of queries and of their k best rows with the scores, and the number of scored pairs; each query takes annuli outward."""
         starts = np.arange(0, len(self.vec), annulus)
         low, high = self.away[starts], self.away[np.minimum(starts + annulus, len(self.vec)) - 1]
         gap = np.maximum(np.maximum(self.d[:, None] - high, low - self.d[:, None]), 0)
@@ -183,13 +180,11 @@ class Unit:
         length = (self.x * self.x).sum(1)
         # scores that aren't reached yet are the lowest
         top = np.full((len(self.query), k), LOWEST, np.int64)
-        reach, met = self.reach.copy(), np.zeros(len(self.query), np.int64)
+        reach = self.reach.copy()
         found, scored, alive = [], 0, np.arange(len(self.query))
         for turn in range(len(starts)):
             at = outward[alive, turn]
             on = upper_bound(length[alive], gap[alive, at], most) >= reach[alive]
-            if nearest_only:
-                on &= met[alive] < k
             alive, at = alive[on], at[on]
             if not len(alive):
                 break
@@ -202,19 +197,18 @@ class Unit:
                     own = self.query[some][:, None] == ids
                     score[own] = LOWEST
                     scored += score.size
-                    met[some] += (~own).sum(1)
                     both = np.concatenate([top[some], score], 1)
                     top[some] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
                     reach[some] = np.maximum(reach[some], top[some].min(1))
                     i, j = np.nonzero((score >= reach[some][:, None]) & ~own)
                     found.append((some[i], a + j, score[i, j]))
         if not found:
-            return *[np.empty(0, np.int64)] * 3, reach, scored
+            return *[np.empty(0, np.int64)] * 3, scored
         query, row, score = (np.concatenate(c) for c in zip(*found))
         kept = score >= reach[query]
         query, row, score = query[kept], row[kept], score[kept]
         keep = best(query, self.vec[row], score, k)
-        return query[keep], row[keep], score[keep], reach, scored
+        return query[keep], row[keep], score[keep], scored
 
 
 def units_of(batches, width: int):
@@ -326,25 +320,21 @@ def search_counted(vectors: DataFrame, spec: TopKSpec = TopKSpec(), *, id_col: s
     block = F.floor((F.col("before") + F.pmod(F.xxhash64("row"), F.col("n"))) / spec.block_queries).cast("int").alias("block")
     blocked = queries.join(F.broadcast(places), "g").select("id", "x", "row", block, "g", "d", F.lit(LOWEST).alias("reach"))
 
-    def first_scores(batches):
-        for unit in units_of(batches, width):
-            *_, reach, pairs = unit.search(k, spec.annulus_rows, most, exact, nearest_only=True)
-            scored.add(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(unit.key), pa.array(reach)], ["row", "reach"])
-
-    reached = materialise(together(blocked, indexed).mapInArrow(first_scores, "row long, reach long"), "reached")
-    following = blocked.drop("g", "d", "reach").join(reached, "row").withColumn("open", open_groups("x", "reach"))
-    following = materialise(following.select("id", "x", "row", "block", "reach", F.inline("open")), "asked")
-
     def search(batches):
         for unit in units_of(batches, width):
-            query, row, score, _, pairs = unit.search(k, spec.annulus_rows, most, exact)
+            query, row, score, pairs = unit.search(k, spec.annulus_rows, most, exact)
             scored.add(pairs)
             columns = unit.key[query], unit.query[query], unit.vec[row], score
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "query_id", "vec_id", "score"])
 
-    found = materialise(together(following, indexed).mapInArrow(search, "row long, query_id long, vec_id long, score long"), "found")
-    for made in (keyed, queries, reached, following):
+    found = "row long, query_id long, vec_id long, score long"
+    first = materialise(together(blocked, indexed).mapInArrow(search, found), "first")
+    reached = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(LOWEST).alias("reach"))
+    following = blocked.select("id", "x", "row", "block", F.col("g").alias("home")).join(reached, "row", "left").withColumn("reach", F.coalesce("reach", F.lit(LOWEST)))
+    following = following.withColumn("open", open_groups("x", "reach")).select("id", "x", "row", "block", "reach", "home", F.inline("open")).where("g <> home").drop("home")
+    following = materialise(following, "asked")
+    others = materialise(together(following, indexed).mapInArrow(search, found), "others")
+    for made in (keyed, queries, following):
         remove(made, spark)
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), scored
+    return first.unionByName(others).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), scored
