@@ -142,7 +142,7 @@ def famd(spark: SparkSession, d: str) -> DataFrame:
 
 def famd_eigenvalues(spark: SparkSession, d: str) -> DataFrame:
     model, _ = famd_model(spark, d)
-    return model.summary(spark)
+    return rounded(model.summary(spark))
 
 
 def user_points(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def _fit(init: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         points = user_points(spark, d)
         found = clustering.bisecting(points) if init == "bisecting" else clustering.kmeans(points, init=init)
-        return found.predict(points).select(F.col("id").alias("user_id"), "cluster", "dist2")
+        return rounded(found.predict(points).select(F.col("id").alias("user_id"), "cluster", "dist2"))
 
     return run
 
@@ -162,7 +162,7 @@ def component_scatter(spark: SparkSession, d: str) -> DataFrame:
     """The plane of the two components with the categories that it is coloured by."""
     model, rows = famd_model(spark, d)
     kinds = rows.select("user_id", "most_active_time_day", "most_common_click_length")
-    return model.transform(rows).join(kinds, "user_id")
+    return rounded(model.transform(rows).join(kinds, "user_id"))
 
 
 def centroid_scatter(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +170,7 @@ def centroid_scatter(spark: SparkSession, d: str) -> DataFrame:
     points = user_points(spark, d)
     found = clustering.kmeans(points, init="k-means++")
     plane = lambda rows, v: rows.select("cluster", F.col(v)[0].alias("pc0"), F.col(v)[1].alias("pc1"), F.lit(v == "centroid").alias("is_centroid"))
-    return plane(found.predict(points), "features").unionByName(plane(clustering.centroid_table(spark, found.centroids), "centroid"))
+    return rounded(plane(found.predict(points), "features").unionByName(plane(clustering.centroid_table(spark, found.centroids), "centroid")))
 
 
 def sample_users(spark: SparkSession, d: str) -> DataFrame:
@@ -189,16 +189,16 @@ def clustering_report(spark: SparkSession, d: str) -> DataFrame:
     """(algorithm, iterations, inertia): how the three algorithms converge on the same points."""
     points = user_points(spark, d)
     fits = {"k-means": clustering.kmeans(points), "k-means++": clustering.kmeans(points, init="k-means++"), "bisecting": clustering.bisecting(points)}
-    return spark.createDataFrame([(name, f.iterations, f.inertia) for name, f in fits.items()], "algorithm string, iterations int, inertia double")
+    return rounded(spark.createDataFrame([(name, f.iterations, f.inertia) for name, f in fits.items()], "algorithm string, iterations int, inertia double"))
 
 
 def elbow(spark: SparkSession, d: str) -> DataFrame:
     curve = clustering.inertia_by_k(user_points(spark, d))
-    return curve.crossJoin(clustering.knee(curve))
+    return rounded(curve.crossJoin(clustering.knee(curve)))
 
 
 def best_silhouette_k(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.best_k(clustering.silhouette_by_k(user_points(spark, d)))
+    return rounded(clustering.best_k(clustering.silhouette_by_k(user_points(spark, d))))
 
 
 def exam_rows(found: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ QUERIES: dict[str, Query] = {
     "clustering_report": clustering_report,
     "elbow": elbow,
     "best_silhouette_k": best_silhouette_k,
-    "famd": famd,
+    "famd": lambda s, d: rounded(famd(s, d)),
     "component_scatter": component_scatter,
     "centroid_scatter": centroid_scatter,
     "sample_users": sample_users,

@@ -6,6 +6,7 @@ from weft.config import DEFAULT
 from weft.operators.exam import EXAMPLES
 from weft.operators.features import CLASSES, FEATURES, TOTALS
 from weft.operators.minhash import coefficients
+from weft.plans import oracle_models
 from weft.plans.catalogue import EXAMPLE_USER
 
 RAW = """
@@ -120,39 +121,28 @@ a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d
 flat AS (SELECT vec_id, label, unnest(x) AS v, unnest(range(0, len(x))) AS dim FROM p),
 mean AS (SELECT label, dim, avg(v) AS m, count(*) AS n FROM flat GROUP BY label, dim),
 within AS (SELECT sum((v - m) * (v - m)) AS w FROM flat JOIN mean USING (label, dim))"""
+_EMBEDDED = "p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)"
+_KINDS = ["favourite_genre", *CLASSES]
+_COMPONENTS = f"{IMPUTED}, {oracle_models.components([c for c in FEATURES if c not in _KINDS], _KINDS)}"
+_USERS = f"{_COMPONENTS}, p AS (SELECT user_id AS id, [pc0, pc1] AS x FROM pc)"
 
 
-def _uniform(salt: str) -> str:
-    """The number in (0, 1) of a hash of the id, as in clustering.uniform."""
-    return f"((CAST('0x' || substr(md5(concat(vec_id, '-{salt}')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
-
-
-def _kmeans(plus_plus: bool, steps: int, k: int = 4, seed: int = 42) -> str:
-    """Seeding and so many of Lloyd's steps, one after another; a cluster without points keeps its centroid."""
-    gap = "list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
-    ctes = ["p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)"]
-    if plus_plus:
-        ctes.append(f"s1 AS (SELECT 0 AS cluster, x AS y FROM (SELECT * FROM p ORDER BY {_uniform(str(seed))}, vec_id LIMIT 1))")
-        for i in range(1, k):
-            ctes.append(f"g{i} AS (SELECT vec_id, any_value(p.x) AS x, min({gap}) AS d FROM p CROSS JOIN s{i} GROUP BY vec_id)")
-            ctes.append(f"s{i + 1} AS (SELECT * FROM s{i} UNION ALL SELECT {i}, x FROM (SELECT * FROM g{i} WHERE d <> 0 ORDER BY -ln({_uniform(f'{seed}-{i}')}) / d, vec_id LIMIT 1))")
-        ctes.append(f"c0 AS (SELECT * FROM s{k})")
-    else:
-        order = f"{_uniform(str(seed))}, vec_id"
-        ctes.append(f"c0 AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS cluster, x AS y FROM (SELECT * FROM p ORDER BY {order} LIMIT {k}))")
-    for i in range(steps + 1):
-        ctes.append(f"d{i} AS (SELECT vec_id, x, cluster, {gap} AS dist2 FROM p CROSS JOIN c{i})")
-        ctes.append(f"a{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist2, cluster) AS n FROM d{i}) WHERE n = 1)")
-        ctes.append(
-            f"m{i} AS (SELECT cluster, list(m ORDER BY dim) AS y FROM (SELECT cluster, dim, avg(v) AS m FROM (SELECT cluster, unnest(x) AS v, unnest(range(0, len(x))) AS dim FROM a{i}) GROUP BY cluster, dim) GROUP BY cluster)"
-        )
-        ctes.append(f"c{i + 1} AS (SELECT c{i}.cluster, coalesce(m{i}.y, c{i}.y) AS y FROM c{i} LEFT JOIN m{i} ON m{i}.cluster = c{i}.cluster)")
-    return f"WITH {', '.join(ctes[:-2])} SELECT vec_id, CAST(cluster AS BIGINT) AS cluster, round(dist2, 6) AS dist2 FROM a{steps}"
+def _labelled(points: str, id_col: str, plus_plus: bool, steps: int, tol: float) -> str:
+    return f"WITH {oracle_models.kmeans(points, plus_plus, steps, tol=tol)} SELECT id AS {id_col}, CAST(cluster AS BIGINT) AS cluster, round(dist2, 6) AS dist2 FROM labelled"
 
 
 _EXAMS = "e(score, marks) AS (SELECT * FROM (VALUES " + ", ".join(f"({s}, {m}::BIGINT[])" for s, m in EXAMPLES) + "))"
 _MARKS = "CAST(score AS BIGINT) AS score, array_to_string(marks, ',') AS marks"
 
+_RUNS = ("ba_", "pp_", "b0_", "b1_", "b2_")
+_TAKEN = {t: oracle_models.iterations(t, 40, 1e-4) for t in _RUNS}
+_REPORT = ", ".join(
+    [
+        oracle_models.bisecting(_USERS, 40),
+        *[oracle_models.kmeans(f"{t}p AS MATERIALIZED (SELECT * FROM p)", t == "pp_", 40, tol=1e-4, t=t) for t in _RUNS[:2]],
+    ]
+)
+
 ORACLE_SQL: dict[str, str] = {
     "raw_clicks": f"WITH {RAW} SELECT * FROM raw",
     "csv_clicks": f"WITH {RAW} SELECT * FROM raw",
@@ -190,8 +180,18 @@ ORACLE_SQL: dict[str, str] = {
     "lsh_s_curve": "SELECT CAST(b AS BIGINT) AS bands, round(i / 99.0::DOUBLE, 6) AS similarity, round(1 - pow(1 - pow(i / 99.0::DOUBLE, 100.0 / b), b), 6) AS probability FROM range(100) r(i) CROSS JOIN (VALUES (5), (20), (25), (50)) v(b)",
     "kmeans_assign_step": f"WITH {_POINTS} SELECT vec_id, CAST(cluster AS BIGINT) AS cluster, round(dist2, 6) AS dist2 FROM a",
     "kmeans_update_step": f"WITH {_POINTS} SELECT CAST(cluster AS BIGINT) AS cluster, CAST(dim AS BIGINT) AS dim, round(avg(v), 6) AS value FROM (SELECT cluster, unnest(x) AS v, unnest(range(0, len(x))) AS dim FROM a) GROUP BY cluster, dim",
-    "kmeans_embeddings": _kmeans(False, 5),
-    "kmeanspp_embeddings": _kmeans(True, 5),
+    "kmeans_embeddings": _labelled(_EMBEDDED, "vec_id", False, 5, 0.0),
+    "kmeanspp_embeddings": _labelled(_EMBEDDED, "vec_id", True, 5, 0.0),
+    "kmeans_fit": _labelled(_USERS, "user_id", False, 60, 1e-4),
+    "kmeanspp_fit": _labelled(_USERS, "user_id", True, 60, 1e-4),
+    "bisecting_fit": f"WITH {oracle_models.bisecting(_USERS, 60)} SELECT id AS user_id, CAST(dense_rank() OVER (ORDER BY path) - 1 AS BIGINT) AS cluster, round(dist2, 6) AS dist2 FROM tree3",
+    "centroid_scatter": f"WITH {oracle_models.kmeans(_USERS, True, 60, tol=1e-4)} SELECT CAST(cluster AS BIGINT) AS cluster, round(x[1], 6) AS pc0, round(x[2], 6) AS pc1, false AS is_centroid FROM labelled UNION ALL SELECT CAST(cluster AS BIGINT), round(y[1], 6), round(y[2], 6), true FROM c60",
+    "clustering_report": f"WITH {_REPORT} SELECT 'k-means' AS algorithm, {_TAKEN['ba_']} AS iterations, (SELECT round(sum(dist2), 6) FROM ba_labelled) AS inertia UNION ALL SELECT 'k-means++', {_TAKEN['pp_']}, (SELECT round(sum(dist2), 6) FROM pp_labelled) UNION ALL SELECT 'bisecting', {_TAKEN['b0_']} + {_TAKEN['b1_']} + {_TAKEN['b2_']}, (SELECT round(sum(dist2), 6) FROM tree3)",
+    "elbow": f"WITH RECURSIVE {oracle_models.kmeans_by_k(_USERS, 60)}, {oracle_models.ELBOW} SELECT CAST(k AS BIGINT) AS k, round(inertia, 6) AS inertia, CAST(knee AS BIGINT) AS knee FROM curve CROSS JOIN knee",
+    "best_silhouette_k": f"WITH RECURSIVE {oracle_models.kmeans_by_k(_USERS, 60)}, {oracle_models.SILHOUETTES} SELECT CAST(k AS BIGINT) AS k FROM scores ORDER BY silhouette DESC, k LIMIT 1",
+    "famd": f"WITH {_COMPONENTS} SELECT user_id, round(pc0, 6) AS pc0, round(pc1, 6) AS pc1 FROM pc",
+    "famd_eigenvalues": f"WITH {_COMPONENTS} {oracle_models.EIGENVALUES}",
+    "component_scatter": f"WITH {_COMPONENTS} SELECT user_id, round(pc0, 6) AS pc0, round(pc1, 6) AS pc1, most_active_time_day, most_common_click_length FROM pc JOIN filled USING (user_id)",
     "inertia": f"WITH {_POINTS} SELECT round(w, 6) AS inertia FROM within",
     "calinski_harabasz": f"""WITH {_POINTS}, g AS (SELECT dim, avg(v) AS gm FROM flat GROUP BY dim),
 b AS (SELECT sum(n * (m - gm) * (m - gm)) AS b, count(DISTINCT label) AS k FROM mean JOIN g USING (dim))
