@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.config import DEFAULT, Config
 from weft.functions.vectors import jaccard, multi_hot
+from weft.storage import materialise
 
 
 def genre_array(config: Config = DEFAULT) -> Column:
@@ -99,9 +100,11 @@ def similar_users(titles: DataFrame, config: Config = DEFAULT) -> DataFrame:
         .withColumn("n", F.row_number().over(best_kinds))
         .where(F.col("n") <= config.similar_users + 1)
     )
+    # few rows for each signature, written so that Spark can split the users of a signature that very many share
+    offers = materialise(offers.select("kind", "similar_user", "matches"), "offers")
     order = Window.partitionBy("user_id").orderBy(F.desc("matches"), "similar_user")
     return (
-        users.join(offers.select("kind", "similar_user", "matches"), "kind")
+        users.join(offers, "kind")
         .where("user_id <> similar_user")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= config.similar_users)
@@ -110,8 +113,8 @@ def similar_users(titles: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def jaccard_pairs(titles: DataFrame, config: Config = DEFAULT, similar: DataFrame | None = None) -> DataFrame:
-    """(user_id, similar_user, jaccard): of each user and its similar users."""
-    sets = user_genres(titles, config)
+    """(user_id, similar_user, jaccard): of each user and its similar users; sets are written, as one user may be similar to very many."""
+    sets = materialise(user_genres(titles, config), "sets")
     similar = similar_users(titles, config) if similar is None else similar
     mine = sets.withColumnRenamed("genres", "a")
     theirs = sets.select(F.col("user_id").alias("similar_user"), F.col("genres").alias("b"))
