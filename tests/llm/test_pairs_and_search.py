@@ -131,6 +131,21 @@ def test_blocks_of_long_lists(spark, monkeypatch):
         assert run(spark, rows, spec) == components(rows, spec)
 
 
+@pytest.mark.parametrize("settings", [{}, {"small_list": 4, "block_rows": 9}])
+def test_all_links_and_their_numbers(spark, settings):
+    spec = ngram_join.JoinSpec(width=5, num=80, **settings)
+    texts = group_of_copies(1, 50, 50, lambda r: r.randint(0, 2)) + near_copies(3) + [None, "", "one", "one", "one two three four five six"] * 2
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3]), (4, "another text")]
+    sets = [shingles(t, 5) for _, t in rows]
+    alike = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS)
+    members, pairs = ngram_join.ngram_links(frame, spec)
+    got = sorted(((r.doc_id, r.n_shingles, r.n_links) for r in members.collect()), key=repr)
+    assert got == sorted(((i, len(s), sum(alike(s, o) for (j, _), o in zip(rows, sets) if j is not None) - 1 if i is not None and s else None) for (i, _), s in zip(rows, sets)), key=repr)
+    kinds = {frozenset(s) for (i, _), s in zip(rows, sets) if i is not None and s}
+    assert pairs.count() == pairs.distinct().count() == sum(alike(a, b) for a in kinds for b in kinds if a != b) // 2
+
+
 def test_shared_tokens_and_forest():
     rng = np.random.RandomState(7)
     sets = [np.unique(rng.randint(0, 60, rng.randint(0, 40))).astype(np.uint64) << np.uint64(40) for _ in range(30)]

@@ -105,8 +105,8 @@ def spanning(a: np.ndarray, b: np.ndarray, nodes: int) -> tuple[np.ndarray, list
     return label, chosen
 
 
-def linked_in(rows: dict[str, np.ndarray], prefixes: list[np.ndarray], first: int, second: int, spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, link) of one pair of blocks: links that join components, and pairs that need a look at whole sets."""
+def linked_in(rows: dict[str, np.ndarray], prefixes: list[np.ndarray], first: int, second: int, spec, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, link) of one pair of blocks: links that join components (or ``every`` link), and pairs that need a look at whole sets."""
     left, right = np.flatnonzero(rows["block"] == first), np.flatnonzero(rows["block"] == second)
     if not len(left) or not len(right):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
@@ -120,6 +120,8 @@ def linked_in(rows: dict[str, np.ndarray], prefixes: list[np.ndarray], first: in
     a, b = np.nonzero(fits)
     whole = open_[a, b] == 0
     a, b = left[a], right[b]
+    if every:
+        return rows["class"][a], rows["class"][b], whole
     label, chosen = spanning(component[a[whole]], component[b[whole]], int(component.max()) + 1)
     x, y = rows["class"][a], rows["class"][b]
     unsure = ~whole & (label[component[a]] != label[component[b]])
@@ -127,7 +129,7 @@ def linked_in(rows: dict[str, np.ndarray], prefixes: list[np.ndarray], first: in
     return x[take], y[take], whole[take]
 
 
-def compare(units: DataFrame, spec) -> DataFrame:
+def compare(units: DataFrame, spec, every: bool) -> DataFrame:
     """(x, y, link) of dealt members with their prefixes (``data``), unit by unit."""
 
     def run(batches):
@@ -137,7 +139,7 @@ def compare(units: DataFrame, spec) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             rows = {c: table.column(c).to_numpy() for c in ("class", "n", "component", "rest", "block")}
             prefixes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("data")]
-            x, y, link = linked_in(rows, prefixes, *key[1:], spec)
+            x, y, link = linked_in(rows, prefixes, *key[1:], spec, every)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(link)], ["x", "y", "link"])
 
         for batch in batches:
@@ -158,13 +160,16 @@ def compare(units: DataFrame, spec) -> DataFrame:
     return sorted_.mapInArrow(run, FOUND)
 
 
-def hot_pairs(entries: DataFrame, sets, spec) -> DataFrame:
-    """(x, y, link) of (g, m, class, n, component) entries; ``sets(classes)`` gives (class, data), the set in the order of prefixes."""
+def hot_pairs(entries: DataFrame, sets, spec, every: bool = False) -> DataFrame:
+    """(x, y, link) of (g, m, class, n, component) entries; ``sets(classes)`` gives (class, data), the set in the order of prefixes.
+
+    Links join components, unless ``every`` link is asked for, whose number may grow with the square of a group.
+    """
     spark = entries.sparkSession
     members = materialise(members_of(entries, spec), "hot-members")
     data = materialise(sets(members.select("class").distinct()), "hot-sets")
     units = dealt(members, spec).join(data, "class").withColumn("data", F.substring("data", F.lit(1), (8 * F.col("tokens")).cast("int")))
-    found = materialise(compare(units, spec).distinct(), "hot-pairs")
+    found = materialise(compare(units, spec, every).distinct(), "hot-pairs")
     for step in (members, data):
         remove(step, spark)
     return found

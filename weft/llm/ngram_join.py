@@ -312,10 +312,10 @@ def sharing_enough(pairs: DataFrame, classes: DataFrame, spec: JoinSpec) -> Data
     return out
 
 
-def between_components(docs: DataFrame, shared: DataFrame, hubs: DataFrame, label: DataFrame, stars: DataFrame, classes: DataFrame, counts, spec: JoinSpec) -> DataFrame:
+def between_components(docs: DataFrame, shared: DataFrame, hubs: DataFrame, label: DataFrame, stars: DataFrame, classes: DataFrame, counts, spec: JoinSpec, every: bool = False) -> DataFrame:
     """Links (x, y) between classes that meet in a list and that the stars have left in different components.
 
-    Of lists longer than ``small_list`` as many links come as join what can be joined, not all.
+    Of lists longer than ``small_list`` as many links come as join what can be joined, unless ``every`` one is asked for.
     """
     spark = docs.sparkSession
     labelled = shared.drop("common").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -326,7 +326,7 @@ def between_components(docs: DataFrame, shared: DataFrame, hubs: DataFrame, labe
 
     hot_entries = labelled.join(hot, "shingle").select("g", "m", "class", "n", "component")
     sets = lambda wanted: whole_sets(docs, materialise(wanted.join(classes.select("class", "first_id"), "class"), "wanted"), spec, counts)
-    found = hot_pairs(hot_entries, sets, spec) if not hot.isEmpty() else None
+    found = hot_pairs(hot_entries, sets, spec, every) if not hot.isEmpty() else None
 
     few_entries = materialise(labelled.join(few, "shingle").select("shingle", "class", "n", "pos", "component"), "few")
     remove(labelled, spark)
@@ -353,18 +353,8 @@ def between_components(docs: DataFrame, shared: DataFrame, hubs: DataFrame, labe
     return out if found is None else out.unionByName(found.where("link").select("x", "y"))
 
 
-def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row; the component's id is its smallest."""
-    found = row_components(docs, spec, id_col=id_col, text_col=text_col)
-    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-
-
-def row_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, class, component, component_id) for each row.
-
-    Where ids repeat, components can share their smallest id; ``component`` tells them apart. It and
-    ``class`` are null for rows without words.
-    """
+def listed_classes(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> tuple:
+    """The texts, the sketch, members (doc_id, n, class), classes, entries of shingles that several classes list, and the lists' hubs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -386,7 +376,47 @@ def row_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str
     shared = materialise(entries.join(repeated, "shingle", "left_semi"), "entries")
     remove(repeated, spark)
     hubs = materialise(shared.groupBy("shingle").agg(F.max(F.struct("common", "class", "n", "pos")).alias("hub")), "hubs")
+    return docs, counts, members, classes, shared, hubs
+
+
+def ngram_links(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Members (id, n_shingles, class, n_links), and all pairs (x, y) of linked classes, x < y.
+
+    ``n_links`` counts the other rows that a row links with, copies too; it is null where the row takes
+    no part. Copies aren't expanded into pairs, but groups of near copies have as many pairs as they
+    have links; where components are enough, ``ngram_components`` gives them without.
+    """
+    docs, counts, members, classes, shared, hubs = listed_classes(docs, spec, id_col, text_col)
+    spark = docs.sparkSession
+    none = lambda schema: spark.createDataFrame([], schema)
+    pairs = between_components(docs, shared, hubs, none("node long, component long"), none("x long, y long"), classes, counts, spec, every=True)
+    pairs = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "all-links")
+    rows = materialise(members.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("class").agg(F.count("*").alias("rows")), "class-rows")
+    both = pairs.select(F.col("x").alias("class"), F.col("y").alias("other")).unionByName(pairs.select(F.col("y").alias("class"), F.col("x").alias("other")))
+    others = both.join(rows.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("rows").alias("linked"))
+    total = materialise(rows.join(others, "class", "left").select("class", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("links")), "link-counts")
+    for step in (shared, hubs, classes, rows):
+        remove(step, spark)
+    takes_part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return members.join(total, "class", "left").select(
+        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"), F.when(takes_part, F.col("links")).alias("n_links")
+    ), pairs
+
+
+def ngram_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for each row; the component's id is its smallest."""
+    found = row_components(docs, spec, id_col=id_col, text_col=text_col)
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
+
+def row_components(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, class, component, component_id) for each row.
+
+    Where ids repeat, components can share their smallest id; ``component`` tells them apart. It and
+    ``class`` are null for rows without words.
+    """
+    docs, counts, members, classes, shared, hubs = listed_classes(docs, spec, id_col, text_col)
+    spark = docs.sparkSession
     x = F.struct("class", "n", "pos").alias("x")
     stars = shared.join(hubs, "shingle").select(x, F.col("hub").alias("y")).where((F.col("x.class") != F.col("y.class")) & may_link(spec, "x", "y"))
     stars = materialise(stars.select(F.col("x.class").alias("x"), F.col("y.class").alias("y")).distinct(), "met")
