@@ -591,3 +591,17 @@ def test_near_duplicates_judge_each_text_of_a_repeated_id(spark):
     rows = [(5, a), (5, b), (5, b + " more"), (5, ""), (5, None), (3, c), (6, c + " more"), (6, "own text"), (8, a + " more")]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
     assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(5, a), (5, b), (5, ""), (3, c), (6, "own text")])
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_training_gives_the_drivers_memory_back_before_and_after_the_fit(spark, monkeypatch, module):
+    from weft.llm import _features
+
+    said, fit = [], module.fit
+    for m in (_features, module):
+        monkeypatch.setattr(m, "give_back", lambda session: said.append("back" if session is spark else "no session"))
+    monkeypatch.setattr(module, "fit", lambda *sample: said.append("fit") or fit(*sample))
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad text there") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    module.train(docs, labels)
+    assert said == ["back", "fit", "back"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.storage import Scratch, fresh_path, materialise, remove, shared_root
 
-__all__ = ["Scratch", "bounded_batches", "fresh_path", "hash_sample", "kept_by_worker", "materialise", "remove", "shared_root", "table", "text_of"]
+__all__ = ["Scratch", "bounded_batches", "fresh_path", "give_back", "hash_sample", "kept_by_worker", "materialise", "remove", "shared_root", "table", "text_of"]
 
 #: Bytes of a batch between Spark and Python: a batch of long rows is held several times over on either side.
 BATCH_BYTES = 4 << 20
@@ -39,8 +39,10 @@ def kept_by_worker(name: str, make):
     return _kept[name]
 
 
-def give_back() -> None:
-    """Return freed memory to the system, where the C library can."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return freed memory to the system, where the C library can; with a session, the driver's JVM does so too."""
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):

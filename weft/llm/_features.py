@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import bounded_batches, hash_sample, kept_by_worker, text_of
+from weft.llm._common import bounded_batches, give_back, hash_sample, kept_by_worker, text_of
 
 BITS = 20
 SIZE = 1 << BITS
@@ -190,4 +190,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, most: int
     got = rows.select("_id", "_label", found("_text").alias("_found")).toArrow().sort_by("_id")
     kept = got.column("_found").combine_chunks()
     offsets = kept.offsets.to_numpy().astype(np.int64)
-    return offsets - offsets[0], kept.flatten().to_numpy(), got.column("_label").to_numpy()
+    label, index = got.column("_label").to_numpy(), kept.flatten().to_numpy()
+    del got, kept
+    give_back(docs.sparkSession)  # models are fitted here next, while the JVM rests
+    return offsets - offsets[0], index, label

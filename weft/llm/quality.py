@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import bounded_batches, text_of
+from weft.llm._common import bounded_batches, give_back, text_of
 from weft.llm._features import SIZE, class_counts, in_fold, indicators, labelled_sample, pieces
 
 
@@ -109,7 +109,9 @@ def logistic_curve(margin: np.ndarray, is_good: np.ndarray) -> tuple[float, floa
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 6000) -> QualityModel:
     """The model from at most ``most_rows`` labelled rows outside the held-out fold."""
-    return fit(*labelled_sample(docs, labels, label_col, most=most_rows, id_col=id_col, text_col=text_col, kind="n-grams"))
+    model = fit(*labelled_sample(docs, labels, label_col, most=most_rows, id_col=id_col, text_col=text_col, kind="n-grams"))
+    give_back(docs.sparkSession)
+    return model
 
 
 def score(model: QualityModel, text_col: str = "text") -> Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import bounded_batches, text_of
+from weft.llm._common import bounded_batches, give_back, text_of
 from weft.llm._features import SIZE, class_counts, indicators, labelled_sample, pieces
 
 GRADES = 3
@@ -154,7 +154,9 @@ def fit_grades(indptr: np.ndarray, index: np.ndarray, label: np.ndarray, rows: n
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 12_000) -> SeverityModel:
     """The model from at most ``most_rows`` labelled rows outside the held-out fold."""
-    return fit(*labelled_sample(docs, labels, label_col, most=most_rows, id_col=id_col, text_col=text_col, kind="beginnings"))
+    model = fit(*labelled_sample(docs, labels, label_col, most=most_rows, id_col=id_col, text_col=text_col, kind="beginnings"))
+    give_back(docs.sparkSession)
+    return model
 
 
 def severity(model: SeverityModel, text_col: str = "text") -> Column:
