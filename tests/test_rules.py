@@ -170,3 +170,21 @@ def test_strict_buckets_tell_digits_apart(spark):
     loose = {r.id: r.x[0].bucket for r in frame.select("id", minhash.bands().alias("x")).collect()}
     strict = {r.id: r.x[0].bucket for r in frame.select("id", minhash.bands(strict=True).alias("x")).collect()}
     assert loose[1] == loose[2] and strict[1] != strict[2]
+
+
+def test_equal_totals_tie_whatever_the_order_of_clicks(spark):
+    """0.1 + 0.2 + 0.3 and 0.6 are equal seconds, but not as sums of doubles; infinite durations stay what they are."""
+    rows = []
+    for user, parts in (("a", (0.1, 0.2, 0.3)), ("b", (0.3, 0.2, 0.1)), ("c", (0.2, 0.7, 0.1))):
+        # the alphabetically first class and genre gets one click, the other one several of the same total
+        rows += [("2024-01-08 09:00:00", d, "t", "zinc", "2000-01-01", "m1", user) for d in parts]
+        rows += [("2024-03-08 13:00:00", {"a": 0.6, "b": 0.6, "c": 1.0}[user], "s", "iron", "2020-01-01", "m2", user)]
+        rows += [("2024-07-13 13:00:00", 0.0, "r", "NOT AVAILABLE", "NOT AVAILABLE", "m3", user)]
+    rows += [("2024-01-08 09:00:00", d, "t", "zinc", "2000-01-01", "m1", "d") for d in (float("inf"), 1.0)]
+    for given in (rows, rows[::-1]):
+        found = {r.user_id: r for r in features.user_features(clean(raw(spark, *given)).repartition(3, "datetime")).collect()}
+        for user, total in (("a", 1.2), ("b", 1.2), ("c", 2.0)):
+            r = found[user]
+            assert (r.favourite_genre, r.most_active_time_day, r.most_active_season, r.is_old_movie_lover) == ("iron", "Afternoon", "Spring", "False")
+            assert r.total_time_spent == total and r.avg_click_duration == total / 5 and r.mean_duration_peak_hour is None
+        assert found["d"].total_time_spent == float("inf") and found["d"].favourite_genre == "zinc" and found["d"].most_active_season == "Winter"

@@ -4,6 +4,7 @@ The log is read once: ``summary`` sums it by user and genre string, with a colum
 six class features, so nothing is exploded and no more rows than clicks come out. Sums and ratios
 (``totals``), the class with the largest weight (``dominant_classes``) and genres (``genre_features``)
 come from the summary; ``user_features`` writes it first, so that the three read that and not the log.
+Durations are summed as decimals, so sums don't depend on the order of rows, and equal totals tie.
 """
 
 from __future__ import annotations
@@ -24,18 +25,42 @@ FEATURES = (
     "avg_click_per_movie",
 )
 NO_GENRE = "NaN"
+#: Durations count exactly, to the billionth of a second; those of at least ``HUGE`` seconds, infinite ones too, are summed as doubles beside them.
+EXACT, HUGE = "decimal(28,9)", 1e18
 
 
-def class_weights(config: Config = DEFAULT) -> list[tuple[str, str, Column, Column]]:
-    """(feature, class function, class, weight) of the six class features: durations, but one click each for click lengths."""
+def _parts(value: Column) -> tuple[Column, Column]:
+    """The value as a decimal, or where it is too large for one as a double; the other is null."""
+    fits = F.abs(value) < HUGE
+    return F.when(fits, value.cast(EXACT)), F.when(~fits, value.cast("double"))
+
+
+def _total(exact: Column | str, huge: Column | str) -> Column:
+    return F.struct(F.sum(exact).alias("exact"), F.sum(huge).alias("huge"))
+
+
+def _total_again(name: str) -> Column:
+    """The total of totals."""
+    return _total(f"{name}.exact", f"{name}.huge").alias(name)
+
+
+def _seconds(name: str) -> Column:
+    """The double nearest to a total; null where nothing was summed."""
+    exact, huge = F.col(name)["exact"].cast("double"), F.col(name)["huge"]
+    return F.when(huge.isNull(), exact).otherwise(huge + F.coalesce(exact, F.lit(0.0)))
+
+
+def class_weights(config: Config = DEFAULT) -> list[tuple[str, str, Column, tuple[Column, Column]]]:
+    """(feature, class function, class, weight in parts) of the six class features: durations, but one click each for click lengths."""
     ts, duration = F.col("datetime"), F.col("duration")
+    time, click = _parts(duration), _parts(F.lit(1.0))
     return [
-        ("most_active_time_day", "time_of_day", classify.time_of_day(ts), duration),
-        ("is_old_movie_lover", "old_film", classify.old_film(F.col("release_date"), config), duration),
-        ("most_active_time_week", "part_of_week", classify.part_of_week(ts), duration),
-        ("most_active_season", "season", classify.season(ts), duration),
-        ("most_common_click_length", "click_length", classify.click_length(duration, config), F.lit(1.0)),
-        ("most_active_daytime", "daytime", classify.daytime(ts), duration),
+        ("most_active_time_day", "time_of_day", classify.time_of_day(ts), time),
+        ("is_old_movie_lover", "old_film", classify.old_film(F.col("release_date"), config), time),
+        ("most_active_time_week", "part_of_week", classify.part_of_week(ts), time),
+        ("most_active_season", "season", classify.season(ts), time),
+        ("most_common_click_length", "click_length", classify.click_length(duration, config), click),
+        ("most_active_daytime", "daytime", classify.daytime(ts), time),
     ]
 
 
@@ -46,14 +71,15 @@ def _weight_name(feature: str, value: str) -> str:
 def summary(clicks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Sums of the log by user and genre string, null users too, with the distinct days and movies of each."""
     duration, peak = F.col("duration"), classify.is_peak_hour(F.col("datetime")) == 1
-    weights = [F.sum(F.when(c == v, w.cast("double"))).alias(_weight_name(f, v)) for f, kind, c, w in class_weights(config) for v in classify.VALUES[kind]]
+    total = lambda condition, parts=_parts(duration): _total(*[F.when(condition, p) for p in parts])
+    weights = [total(c == v, w).alias(_weight_name(f, v)) for f, kind, c, w in class_weights(config) for v in classify.VALUES[kind]]
     return clicks.groupBy("user_id", "genres").agg(
-        F.sum(duration).alias("time"),
+        total(F.lit(True)).alias("time"),
         F.count(duration).alias("clicks"),
-        F.sum(F.when(F.col("datetime").isNotNull(), duration)).alias("dated_time"),
+        total(F.col("datetime").isNotNull()).alias("dated_time"),
         F.count_if(duration >= config.follow_through).alias("followed"),
         F.count("title").alias("titled"),
-        F.sum(F.when(peak, duration)).alias("peak_time"),
+        total(peak).alias("peak_time"),
         F.count(F.when(peak, duration)).alias("peak_clicks"),
         F.count("movie_id").alias("movie_clicks"),
         F.collect_set(F.to_date("datetime")).alias("days"),  # no more than there are days, and movies
@@ -65,8 +91,10 @@ def summary(clicks: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def totals(sums: DataFrame) -> DataFrame:
     """The seven sums and ratios of each user, from the summary."""
     distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    parts = ("time", "clicks", "dated_time", "followed", "titled", "peak_time", "peak_clicks", "movie_clicks")
-    per_user = sums.where("user_id IS NOT NULL").groupBy("user_id").agg(*[F.sum(c).alias(c) for c in parts], distinct("days").alias("days"), distinct("movies").alias("movies"))
+    times, counts = ("time", "dated_time", "peak_time"), ("clicks", "followed", "titled", "peak_clicks", "movie_clicks")
+    added = [*map(_total_again, times), *[F.sum(c).alias(c) for c in counts]]
+    per_user = sums.where("user_id IS NOT NULL").groupBy("user_id").agg(*added, distinct("days").alias("days"), distinct("movies").alias("movies"))
+    per_user = per_user.withColumns({c: _seconds(c) for c in times})
     every = sums.select(F.explode("days").alias("day")).agg(F.countDistinct("day").alias("all_days"))  # one row
     ratios = {
         "avg_click_duration": F.try_divide("time", "clicks"), "avg_time_per_day": F.try_divide("dated_time", "days"), "ft_probability": F.try_divide("followed", "titled"),
@@ -79,9 +107,10 @@ def totals(sums: DataFrame) -> DataFrame:
 def dominant_classes(sums: DataFrame, only: str | None = None, config: Config = DEFAULT) -> DataFrame:
     """For each user the class with the largest total weight, the alphabetically first on ties, a column a feature; from the summary."""
     chosen = [(f, classify.VALUES[kind]) for f, kind, _, _ in class_weights(config) if only in (None, f)]
-    weights = [F.sum(_weight_name(f, v)).alias(_weight_name(f, v)) for f, values in chosen for v in values]
+    weights = [_total_again(_weight_name(f, v)) for f, values in chosen for v in values]
+    weight = lambda f, v: _seconds(_weight_name(f, v))
     best = lambda f, values: F.array_min(
-        F.filter(F.array(*[F.when(F.col(_weight_name(f, v)).isNotNull(), F.struct((-F.col(_weight_name(f, v))).alias("weight"), F.lit(v).alias("class"))) for v in values]), lambda x: x.isNotNull())
+        F.filter(F.array(*[F.when(weight(f, v).isNotNull(), F.struct((-weight(f, v)).alias("weight"), F.lit(v).alias("class"))) for v in values]), lambda x: x.isNotNull())
     )["class"]
     return sums.where("user_id IS NOT NULL").groupBy("user_id").agg(*weights).select("user_id", *[best(f, values).alias(f) for f, values in chosen])
 
@@ -89,10 +118,10 @@ def dominant_classes(sums: DataFrame, only: str | None = None, config: Config =
 def genre_features(sums: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """favourite_genre (the genre with the largest total time, where no genre competes as one) and genre_diversity; from the summary."""
     genre = F.explode(F.split(F.coalesce("genres", F.lit(NO_GENRE)), config.genre_separator))
-    times = sums.where("user_id IS NOT NULL").select("user_id", "time", genre.alias("genre")).groupBy("user_id", "genre").agg(F.sum("time").alias("time"))
+    times = sums.where("user_id IS NOT NULL").select("user_id", "time", genre.alias("genre")).groupBy("user_id", "genre").agg(_total_again("time"))
     known = F.when(F.col("genre") != NO_GENRE, F.col("genre"))
     every = sums.where("genres IS NOT NULL").select(F.explode(F.split("genres", config.genre_separator)).alias("genre")).agg(F.countDistinct("genre").alias("all_genres"))
-    per_user = times.groupBy("user_id").agg(F.min(F.struct((-F.col("time")).alias("time"), F.col("genre")))["genre"].alias("favourite"), F.count(known).alias("own_genres"))
+    per_user = times.groupBy("user_id").agg(F.min(F.struct((-_seconds("time")).alias("time"), F.col("genre")))["genre"].alias("favourite"), F.count(known).alias("own_genres"))
     return per_user.crossJoin(F.broadcast(every)).select(
         "user_id",
         F.nullif(F.col("favourite"), F.lit(NO_GENRE)).alias("favourite_genre"),
