@@ -35,7 +35,7 @@ def logs(tmp_path_factory):
     return folders
 
 
-@pytest.mark.parametrize("name", ["user_features", "user_features_imputed", "component_scatter", "bisecting_fit", "kmeans_fit", "centroid_scatter", "kmeanspp_fit", "clustering_report"])
+@pytest.mark.parametrize("name", ["user_features", "user_features_imputed", "component_scatter", "bisecting_fit", "kmeans_fit", "centroid_scatter", "kmeanspp_fit", "clustering_report", "elbow"])
 def test_same_rows_in_any_order(spark, logs, name):
     forward, backward = (sorted(map(repr, QUERIES[name](spark, f).collect())) for f in logs)
     assert len(forward) > 2 and forward == backward
