@@ -43,7 +43,7 @@ def test_same_rows_in_any_order(spark, logs, name):
     assert len(forward) > 2 and forward == backward
 
 
-@pytest.mark.parametrize("name", ["component_scatter", "kmeans_fit", "bisecting_fit", "clustering_report"])
+@pytest.mark.parametrize("name", ["component_scatter", "kmeans_fit", "bisecting_fit", "clustering_report", "user_features_imputed"])
 def test_same_rows_as_sql_with_exact_sums(spark, logs, name):
     """The SQL sums doubles, whose last digits break ties by the order of rows; with sums of decimals it has one result."""
     sql = ORACLE_SQL[name].replace("sum(duration)", "CAST(sum(CAST(duration AS DECIMAL(28, 9))) AS DOUBLE)")
